@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import content_columns, last_run_rows, table
+from ..session import materialize
+from .addresses import AddressFields, building_pairs, buildings, parse_addresses
 from .formatting import Copies, collapse_copies
 
 _SWAPPABLE = [[("cot_name_01", "cot_value_01"), ("cot_name_03", "cot_value_03")]]
@@ -29,7 +31,41 @@ def p4_records(spark: SparkSession, folder: str) -> DataFrame:
     return _copies(spark, folder).groups.select(F.col("representative").alias("row_id"), "copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_records)}
+_ADDRESS = AddressFields("row_id", ("cot_addr_full_new", "cot_addr_full_old", "cot_extra_name"), "cot_gu_name")
+_CITY = "한빛(?:특별시|시)?"
+
+
+def _district_names(spark: SparkSession, folder: str) -> list[str]:
+    """The city's districts: a fixed table of a few dozen rows."""
+    names = table(spark, folder, "district_boundaries").select("gu_name").where("gu_name is not null").distinct()
+    return sorted(row[0] for row in names.collect())
+
+
+def row_buildings(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """``id, building`` of the rows with a numbered address in either address field."""
+    addressed = rows.where((F.coalesce(F.trim("cot_addr_full_new"), F.lit("")) != "") | (F.coalesce(F.trim("cot_addr_full_old"), F.lit("")) != ""))
+    parsed = materialize(parse_addresses(addressed, _ADDRESS, city=_CITY, districts=_district_names(spark, folder)))
+    return buildings(parsed)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = last_run_rows(spark, folder).select("row_id", *_ADDRESS.fields, "cot_gu_name")
+    found = row_buildings(spark, folder, rows)
+    text = F.concat_ws("\x01", *[F.coalesce(c, F.lit("")) for c in _ADDRESS.fields])
+    members = found.join(rows.select("row_id", text.alias("text")), found.id == rows.row_id).select("row_id", "building", "text")
+    pairs = building_pairs(members, id_column="row_id", group="building", text=F.col("text"))
+    return pairs.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+
+
+def p6_buildings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row with a numbered address and the smallest row of its building."""
+    rows = last_run_rows(spark, folder).select("row_id", *_ADDRESS.fields, "cot_gu_name")
+    found = materialize(row_buildings(spark, folder, rows))
+    first = found.groupBy("building").agg(F.min("id").alias("building_row_id"), F.count(F.lit(1)).alias("rows"))
+    return found.join(first, "building").select(F.col("id").alias("row_id"), "building_row_id", "rows")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_records, p6_found, p6_buildings)}
 
 _FOLD = r"regexp_replace(lower(coalesce({c}, '')), '[\s\x1c-\x1f\x{{85}}\pZ\pP\pS]+', '', 'g')"
 _TEXTS = [
