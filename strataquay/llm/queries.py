@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import content_columns, last_run_rows, table
 from ..session import materialize
 from .addresses import AddressFields, building_pairs, buildings, parse_addresses
 from .formatting import Copies, collapse_copies
+from .names import link_names
 
 _SWAPPABLE = [[("cot_name_01", "cot_value_01"), ("cot_name_03", "cot_value_03")]]
 
@@ -65,7 +66,46 @@ def p6_buildings(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(first, "building").select(F.col("id").alias("row_id"), "building_row_id", "rows")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_records, p6_found, p6_buildings)}
+def name_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """``id, entity, name`` of the last run's rows whose name is linked to another row's."""
+    rows = last_run_rows(spark, folder).select("row_id", "cot_conts_name", "cot_coord_x", "cot_coord_y", *_ADDRESS.fields, "cot_gu_name")
+    housed = row_buildings(spark, folder, rows)
+    x, y = mended_position(F.col("cot_coord_x"), F.col("cot_coord_y"))
+    named = rows.select("row_id", "cot_conts_name", x.alias("x"), y.alias("y")).join(
+        housed.select(F.col("id").alias("row_id"), "building"), "row_id", "left"
+    )
+    brands = [d.removesuffix("구") for d in _district_names(spark, folder)]
+    entities = link_names(named, id_column="row_id", name="cot_conts_name", x="x", y="y", building="building", brands=brands)
+    return entities.join(rows.select(F.col("row_id").alias("id"), F.col("cot_conts_name").alias("name")), "id")
+
+
+def mended_position(x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude with swapped axes and micro-degrees put right; null if still unusable."""
+    scaled = [F.when(F.abs(v) > 1e6, v / 1e6).otherwise(v) for v in (x, y)]
+    swapped = scaled[0].between(33, 39) & scaled[1].between(124, 132)
+    right = scaled[0].between(124, 132) & scaled[1].between(33, 39)
+    return (
+        F.when(right, scaled[0]).when(swapped, scaled[1]),
+        F.when(right, scaled[1]).when(swapped, scaled[0]),
+    )
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    entities = name_entities(spark, folder)
+    pairs = building_pairs(entities, id_column="id", group="entity", text=F.col("name"))
+    return pairs.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+
+
+def p5_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Every linked row, the smallest row of its entity, and the entity's rows and spellings."""
+    entities = materialize(name_entities(spark, folder))
+    whole = entities.groupBy("entity").agg(
+        F.min("id").alias("entity_row_id"), F.count(F.lit(1)).alias("rows"), F.countDistinct("name").alias("spellings")
+    )
+    return entities.join(whole, "entity").select(F.col("id").alias("row_id"), "entity_row_id", "rows", "spellings")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_entities, p6_found, p6_buildings)}
 
 _FOLD = r"regexp_replace(lower(coalesce({c}, '')), '[\s\x1c-\x1f\x{{85}}\pZ\pP\pS]+', '', 'g')"
 _TEXTS = [
