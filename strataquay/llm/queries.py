@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import content_columns, last_run_rows, table
-from ..session import materialize
+from ..session import materialize, shuffle_partitions
 from .addresses import AddressFields, building_pairs, buildings, parse_addresses
 from .formatting import Copies, collapse_copies
+from .mixing import Mixture, mix_sources
 from .names import link_names
+from .packing import pack_items
+from .splitting import split_texts
+from .tokens import VOCABULARY, token_count
 
 _SWAPPABLE = [[("cot_name_01", "cot_value_01"), ("cot_name_03", "cot_value_03")]]
 
@@ -105,7 +109,71 @@ def p5_entities(spark: SparkSession, folder: str) -> DataFrame:
     return entities.join(whole, "entity").select(F.col("id").alias("row_id"), "entity_row_id", "rows", "spellings")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_entities, p6_found, p6_buildings)}
+def sized_documents(spark: SparkSession, folder: str, path: str = VOCABULARY) -> DataFrame:
+    """Documents with the tokens of their whole texts, written once."""
+    documents = table(spark, folder, "documents")
+    # few large files would leave cores idle while texts are tokenized
+    spread = documents.select("doc_id", "source", "text").repartition(4 * shuffle_partitions(spark), "doc_id")
+    return materialize(spread.select("doc_id", "source", token_count(F.col("text"), path).alias("tokens")))
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text, the container it lies in and that container's fill, for each container size."""
+    sized = sized_documents(spark, folder)
+    limits = table(spark, folder, "size_limits").where("purpose = 'container'").select("limit_name", "max_tokens").collect()  # a few settings
+    packed = None
+    for limit in sorted(limits):
+        laid = pack_items(sized, id_column="doc_id", size="tokens", capacity=limit["max_tokens"]).select(
+            F.lit(limit["limit_name"]).alias("limit_name"),
+            "container",
+            F.col("id").alias("doc_id"),
+            "part",
+            F.col("size").alias("tokens"),
+            F.col("fill").alias("container_tokens"),
+            (F.col("fill") / limit["max_tokens"]).alias("container_fill"),
+        )
+        packed = laid if packed is None else packed.unionByName(laid)
+    return packed
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Per container size: texts, containers, the fewest possible, and the share of room used."""
+    limits = table(spark, folder, "size_limits").select("limit_name", "max_tokens")
+    laid = p7_containers(spark, folder).groupBy("limit_name").agg(
+        F.countDistinct("container").alias("containers"), F.countDistinct("doc_id").alias("texts"), F.sum("tokens").alias("tokens")
+    )
+    return laid.join(limits, "limit_name").select(
+        "limit_name", "texts", "tokens", "containers", F.ceil(F.col("tokens") / F.col("max_tokens")).alias("fewest_containers"),
+        F.round(F.col("tokens") / (F.col("containers") * F.col("max_tokens")), 6).alias("fill"),
+    )
+
+
+def _mixture(spark: SparkSession, folder: str) -> Mixture:
+    return mix_sources(
+        sized_documents(spark, folder), table(spark, folder, "source_targets"),
+        id_column="doc_id", source="source", size="tokens", share="target_share", cap="max_repeats",
+    )
+
+
+def p8_collection(spark: SparkSession, folder: str) -> DataFrame:
+    """The drawn copies in random order."""
+    return _mixture(spark, folder).drawn.select(F.col("id").alias("doc_id"), "source", F.col("size").alias("tokens"), "copy", "shuffle_key")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """What each source was asked for and what it gave."""
+    return _mixture(spark, folder).shares
+
+
+def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every text above a piece limit."""
+    return split_texts(
+        table(spark, folder, "documents"), table(spark, folder, "size_limits").where("purpose = 'piece'"),
+        id_column="doc_id", text="text", name="limit_name", max_tokens="max_tokens", overlap_tokens="overlap_tokens",
+    ).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_entities, p6_found, p6_buildings, p7_containers, p7_fill, p8_collection, p8_shares, p9_pieces)}
 
 _FOLD = r"regexp_replace(lower(coalesce({c}, '')), '[\s\x1c-\x1f\x{{85}}\pZ\pP\pS]+', '', 'g')"
 _TEXTS = [
