@@ -243,7 +243,7 @@ def buildings(parsed: DataFrame, *, containment: float = 0.8) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("_df", "token"))).alias("_ranked"))
         .join(spelled.drop("tokens"), "form")
         .withColumn("tokens", F.transform("_ranked", lambda t: t["token"]))
-        .withColumn("rarest", F.filter("tokens", lambda t: F.rlike(t, F.lit("^[rl]")))[0])
+        .withColumn("rarest", F.get(F.filter("tokens", lambda t: F.rlike(t, F.lit("^[rl]"))), 0))
         .withColumn("weights", F.transform("_ranked", lambda t: 1.0 / F.log2(1.0 + t["_df"])))
         .drop("_ranked")
     )
