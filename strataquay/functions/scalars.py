@@ -79,12 +79,13 @@ def tag_label(tag: Column) -> Column:
 
 
 def local_minute(instant: Column, zone: str = "Asia/Seoul") -> Column:
-    """An instant to the minute in ``zone``; the session's time zone is taken to be UTC."""
-    return F.date_format(F.from_utc_timestamp(instant, zone), "yyyy-MM-dd'T'HH:mm")
+    """A UTC instant without time zone, to the minute of ``zone``."""
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), instant), "yyyy-MM-dd'T'HH:mm")
 
 
 def time_ago(instant: Column, now: Column) -> Column:
-    minutes = F.floor((F.unix_micros(now) - F.unix_micros(instant)) / 60_000_000).cast("bigint")
+    """How long before ``now`` an instant was; instants to come are just now."""
+    minutes = F.timestamp_diff("MINUTE", instant, now)
     return (
         F.when(minutes < 1, "just now")
         .when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min ago")))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rule_queries, snapshot_queries
+from . import rule_queries, snapshot_queries, view_queries
 
-_MODULES = (snapshot_queries, rule_queries)
+_MODULES = (snapshot_queries, rule_queries, view_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
