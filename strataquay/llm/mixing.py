@@ -54,7 +54,7 @@ def mix_sources(
     total_size: int | None = None,
     seed: int = 42,
     rounds: int = 4,
-    grid: int = 24,
+    grid: int = 16,
 ) -> Mixture:
     """Draw copies so that each source has its share of the total size.
 
@@ -93,18 +93,19 @@ def mix_sources(
                 tried[s] = [base * 1.5 ** (k - grid // 3) for k in range(grid - 4)] + [base * f for f in (3e3, 1e5, 1e7, 1e9)]
             else:
                 tried[s] = [low + (high - low) * (k + 1) / (grid + 1) for k in range(grid)]
-        rates = spark.createDataFrame([(s, r) for s, r in tried.items()], "source string, rates array<double>")
-        # the list of rates has one short row a source, like the targets
+        rates = spark.createDataFrame([(s, k, r) for s, some in tried.items() for k, r in enumerate(some)], "source string, k int, rate double")
+        # the list holds grid rows a target
         scored = own.join(F.broadcast(rates), "source")
-        drawn = scored.groupBy("source").agg(
-            *[F.sum(_copies(F.element_at("rates", k + 1), F.col("cap"), F.col("uniform"), most) * F.col("size")).alias(f"_{k}") for k in range(grid)]
-        )
+        drawn = scored.groupBy("source", "k").agg(F.sum(_copies(F.col("rate"), F.col("cap"), F.col("uniform"), most) * F.col("size")).alias("drawn"))
+        by_rate: dict[str, dict[int, int]] = {}
         for row in drawn.collect():
-            s, goal = row["source"], total * plan[row["source"]]["target_share"]
+            by_rate.setdefault(row["source"], {})[row["k"]] = row["drawn"]
+        for source_name, got in by_rate.items():
+            s, goal = source_name, total * plan[source_name]["target_share"]
             low, high = span[s]
             for k, rate in enumerate(tried[s]):
-                nearest[s] = min(nearest.get(s, (float("inf"), 0.0)), (abs(row[f"_{k}"] - goal), rate))
-                if row[f"_{k}"] <= goal:
+                nearest[s] = min(nearest.get(s, (float("inf"), 0.0)), (abs(got[k] - goal), rate))
+                if got[k] <= goal:
                     low = max(low, rate)
                 else:
                     high = min(high, rate)

@@ -9,7 +9,9 @@ step no task holds a whole text, only its boundary table in passing.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,15 +20,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, shuffle_partitions
-from .tokens import PATTERN, VOCABULARY, encoder
+from .tokens import VOCABULARY, encoder
 
-WORD, SENTENCE, LINE, PARAGRAPH = 0, 1, 2, 3
-_PRETOKEN = regex.compile(PATTERN)
+INSIDE, WORD, SENTENCE, LINE, PARAGRAPH = -1, 0, 1, 2, 3
 _BREAKS = regex.compile(r"\s*(?:\r\n|\r|\n|\u2028|\u2029)\s*")
 _NEWLINE = regex.compile(r"\r\n|\r|\n|\u2028")
 _SENTENCE = regex.compile(r"[.!?…。！？][.!?…。！？]*[\"'”’」』)\]]*(?=\s|$)|[。！？]+[」』”’]*")
-#: A pretoken of more tokens than this is itself taken apart, so every cut stays near its place.
+#: Words of more tokens than this may be cut inside; shorter ones are units.
 _LONG_WORD = 12
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of every code point, as the tokenizer's pattern tells them apart."""
+    table = np.full(0x110000, _OTHER, np.uint8)
+    for code in range(0x110000):
+        kind = unicodedata.category(chr(code))[0]
+        if kind == "L":
+            table[code] = _LETTER
+        elif kind == "N":
+            table[code] = _DIGIT
+        elif kind == "Z":
+            table[code] = _SPACE
+    table[[9, 10, 11, 12, 13, 0x85]] = _SPACE
+    return table
+
+
+@lru_cache(maxsize=4)
+def _token_bytes(path: str) -> np.ndarray:
+    coder = encoder(path)
+    return np.array([len(coder.decode_single_token_bytes(i)) for i in range(coder.n_vocab)], np.int64)
 
 
 def _meeting_point(text: str, at: int, halo: int) -> int:
@@ -48,52 +72,52 @@ def _meeting_point(text: str, at: int, halo: int) -> int:
 
 def boundary_table(text: str, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit ends, tokens of each unit, and the kind of boundary after it, for one stretch of text."""
-    encode = encoder(path).encode_ordinary
-    known: dict[str, int] = {}
-    ends, sizes = [], []
-    for found in _PRETOKEN.finditer(text):
-        word = found[0]
-        size = known.get(word)
-        if size is None:
-            size = known[word] = len(encode(word))
-        if size <= _LONG_WORD:
-            ends.append(found.end())
-            sizes.append(size)
-            continue
-        # a long run without a break: cut where a token ends together with a letter
-        coder, at, held, begun = encoder(path), found.start(), b"", 0
-        for number, token in enumerate(encode(word), 1):
-            held += coder.decode_single_token_bytes(token)
-            try:
-                piece = held.decode()
-            except UnicodeDecodeError:
-                continue
-            at += len(piece)
-            ends.append(at)
-            sizes.append(number - begun)
-            held, begun = b"", number
-    marks = np.zeros(len(text) + 1, np.int8)
+    tokens = np.array(encoder(path).encode_ordinary(text), np.int64)
+    if not len(tokens):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    leads = (raw & 0xC0) != 0x80
+    letters_before = np.r_[0, np.cumsum(leads)]
+    ends = np.cumsum(_token_bytes(path)[tokens])
+    whole = np.r_[leads, True][ends]  # the token ends together with a letter
+    at = letters_before[ends]
+    size = len(text)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    classes = _classes()[codes]
+    # where the pattern parts words: tokens on either side don't depend on each other
+    parted = np.ones(size + 1, bool)
+    before, after = classes[:-1], classes[1:]
+    both = (before == _SPACE) & (after == _SPACE)
+    last_of_run = np.r_[classes[2:] != _SPACE, False] if size > 1 else np.zeros(0, bool)
+    parted[1:size] = np.where(both, last_of_run, np.where(before == _SPACE, codes[:-1] != 32, (after == _SPACE) | ((before != after) & (codes[:-1] != 39))))
+    marks = np.where(parted, WORD, INSIDE).astype(np.int8)
     for found in _SENTENCE.finditer(text):
-        marks[found.end()] = SENTENCE
+        if parted[found.end()]:
+            marks[found.end()] = SENTENCE
     for found in _BREAKS.finditer(text):
         kind = PARAGRAPH if len(_NEWLINE.findall(found[0])) > 1 else LINE
         # the next word may begin with the last blank of the run
-        marks[found.end()] = kind
-        if found.end() - 1 > found.start():
-            marks[found.end() - 1] = max(marks[found.end() - 1], kind)
-    where = np.array(ends, np.int64)
-    return where, np.array(sizes, np.int32), marks[where] if len(where) else np.zeros(0, np.int8)
+        for place in (found.end() - 1, found.end()):
+            if place > found.start() and parted[place]:
+                marks[place] = max(marks[place], kind)
+    word = np.r_[0, np.cumsum(parted[at])[:-1]]  # running number of each token's word
+    kept = whole & (parted[at] | (np.bincount(word)[word] > _LONG_WORD))
+    kept[-1] = True
+    places = np.flatnonzero(kept)
+    return at[places], np.diff(np.r_[-1, places]), marks[at[places]]
 
 
-def _plan_cuts(tables: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """Start and end offsets of the pieces of one text, from its boundary tables in order.
+def _plan_cuts(tables: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int, overlap: int) -> Iterator[tuple[int, int, int, bool]]:
+    """Start, end and tokens of the pieces of one text, from its boundary tables in order.
 
     Only the units since the last cut are held.  A piece ends at the last
-    paragraph, else line, else sentence end in its second half, else at its last
-    unit; the next one begins at the unit that shares most nearly ``overlap`` tokens.
+    paragraph, else line, sentence or word end in its second half, else at its last
+    unit; the next one begins at the unit that shares most nearly ``overlap`` tokens,
+    a word's beginning if one is near.  The last value tells whether the piece begins and
+    ends between words, so that its tokens are sure.
     """
     ends, sizes, kinds = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
-    start, tables, over = 0, iter(tables), False
+    start, clean, tables, over = 0, True, iter(tables), False
     while True:
         upto = np.cumsum(sizes)
         while not over and (not len(upto) or upto[-1] <= most):
@@ -106,33 +130,32 @@ def _plan_cuts(tables: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], most
         if not len(upto):
             return
         if over and upto[-1] <= most:
-            yield start, int(ends[-1])
+            yield start, int(ends[-1]), int(upto[-1]), clean
             return
         fits = max(1, int(np.searchsorted(upto, most, "right")))
         second_half = max(0, min(int(np.searchsorted(upto, most / 2, "left")), fits - 1))
         cut = fits - 1
-        for kind in (PARAGRAPH, LINE, SENTENCE):
+        for kind in (PARAGRAPH, LINE, SENTENCE, WORD):
             places = np.flatnonzero(kinds[second_half:fits] >= kind)
             if len(places):
                 cut = second_half + int(places[-1])
                 break
-        yield start, int(ends[cut])
-        # shared tokens if the next piece begins after unit i: upto[cut] - upto[i]
+        yield start, int(ends[cut]), int(upto[cut]), bool(clean and kinds[cut] >= WORD)
+        # tokens shared if the next piece begins after unit i: upto[cut] - upto[i]
         first = cut
-        if overlap:
-            behind = upto[cut] - upto[:cut]
-            if len(behind):
-                first = int(np.argmin(np.abs(behind - overlap)))
-                if behind[first] > 2 * overlap:
-                    first = cut
-        start = int(ends[first])
+        if overlap and cut:
+            miss = np.abs(upto[cut] - upto[:cut] - overlap)
+            nearest = int(np.argmin(np.where(kinds[:cut] >= WORD, miss, miss + overlap // 4)))
+            if miss[nearest] < overlap:
+                first = nearest
+        start, clean = int(ends[first]), bool(kinds[first] >= WORD)
         ends, sizes, kinds = ends[first + 1 :], sizes[first + 1 :], kinds[first + 1 :]
 
 
 def _fit(text: str, most: int, path: str) -> Iterator[tuple[str, int, int]]:
     """``text`` if it has at most ``most`` tokens, else parts that do: text, offset and tokens.
 
-    Needed only where a piece begins or ends within a long word, whose tokens may then fall otherwise.
+    Needed only where a piece begins or ends within a word, whose tokens may then fall otherwise.
     """
     encode, at = encoder(path).encode_ordinary, 0
     while at < len(text):
@@ -198,15 +221,23 @@ def split_texts(
                 begin = _meeting_point(stretch, lead, halo_chars) if start else 0
                 end = _meeting_point(stretch, lead + range_chars, halo_chars) if more else len(stretch)
                 own = stretch[begin:end]
+                if not own:
+                    continue
                 ends, sizes, kinds = boundary_table(own, path)
+                total = int(sizes.sum())
+                if not more and number == 0 and total <= smallest:
+                    continue  # the whole text is here and within every limit
+                if end < len(stretch) and not (stretch[end].isspace() and not stretch[end - 1].isspace()):
+                    kinds[-1] = INSIDE
                 at = start - lead + begin
-                out.append((doc, number, at, at + len(own), int(sizes.sum()), ends.astype("<i4").tobytes(), sizes.astype("<i4").tobytes(), kinds.tobytes(), own))
-            yield pd.DataFrame(out, columns=["id", "range_no", "start", "end", "tokens", "ends", "sizes", "kinds", "own"])
+                steps = np.diff(np.r_[0, ends])
+                out.append((doc, number, at, at + len(own), total, steps.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), kinds.tobytes(), own))
+            yield pd.DataFrame(out, columns=["id", "range_no", "start", "end", "tokens", "steps", "sizes", "kinds", "own"])
 
     measured = materialize(
         ranges.repartition(shuffle_partitions(spark), "id", "range_no").mapInPandas(
             measure,
-            "id bigint, range_no int, start bigint, end bigint, tokens bigint, ends binary, sizes binary, kinds binary, own string",
+            "id bigint, range_no int, start bigint, end bigint, tokens bigint, steps binary, sizes binary, kinds binary, own string",
         )
     )
     above = measured.groupBy("id").agg(F.sum("tokens").alias("_all")).where(F.col("_all") > (smallest or 0))
@@ -215,7 +246,7 @@ def split_texts(
     def stitch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
             for frame in frames:
-                yield from frame[["id", "_all", "start", "ends", "sizes", "kinds"]].itertuples(index=False, name=None)
+                yield from frame[["id", "_all", "start", "steps", "sizes", "kinds"]].itertuples(index=False, name=None)
 
         # several limits read one table: it is kept as long as the slowest of them is behind
         doc, kept = None, []
@@ -223,24 +254,24 @@ def split_texts(
         def cuts(doc: int, total: int, kept: list) -> Iterator[tuple]:
             for limit, most, overlap in rules:
                 if total > most:
-                    for number, (a, b) in enumerate(_plan_cuts(iter(kept), most, overlap)):
-                        yield limit, doc, number, a, b, most
+                    for number, (a, b, size, sure) in enumerate(_plan_cuts(iter(kept), most, overlap)):
+                        yield limit, doc, number, a, b, size if sure else -1, most
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame(list(cuts(doc, total, kept)), columns=["limit_name", "id", "cut_no", "start", "end", "most"])
+            return pd.DataFrame(list(cuts(doc, total, kept)), columns=["limit_name", "id", "cut_no", "start", "end", "size", "most"])
 
         total = 0
-        for this, whole, start, ends, sizes, kinds in rows():
+        for this, whole, start, steps, sizes, kinds in rows():
             if this != doc:
                 if kept:
                     yield flush()
                 doc, total, kept = this, whole, []
-            kept.append((np.frombuffer(ends, "<i4").astype(np.int64) + start, np.frombuffer(sizes, "<i4").astype(np.int64), np.frombuffer(kinds, np.int8)))
+            kept.append((np.cumsum(np.frombuffer(steps, "<u4").astype(np.int64)) + start, np.frombuffer(sizes, "<u4").astype(np.int64), np.frombuffer(kinds, np.int8)))
         if kept:
             yield flush()
 
     cuts = tables.repartition(shuffle_partitions(spark), "id").sortWithinPartitions("id", "range_no").mapInPandas(
-        stitch, "limit_name string, id bigint, cut_no int, start bigint, end bigint, most int"
+        stitch, "limit_name string, id bigint, cut_no int, start bigint, end bigint, size int, most int"
     )
     # --- put the pieces together by offset from the ranges they touch ----------------------
     # own parts begin up to a halo behind their range's nominal start
@@ -259,14 +290,17 @@ def split_texts(
         (F.greatest(F.col("start") - F.col("_at"), F.lit(0)) + 1).cast("int"),
         (F.least("end", "_to") - F.greatest("start", "_at")).cast("int"),
     )
-    joined = slices.groupBy("limit_name", "id", "cut_no", "start", "most").agg(
+    joined = slices.groupBy("limit_name", "id", "cut_no", "start", "size", "most").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range_no", part.alias("part")))), lambda s: s["part"]), "").alias("piece")
     )
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for limit, doc, number, start, most, piece in frame[["limit_name", "id", "cut_no", "start", "most", "piece"]].itertuples(index=False, name=None):
+            for limit, doc, number, start, size, most, piece in frame[["limit_name", "id", "cut_no", "start", "size", "most", "piece"]].itertuples(index=False, name=None):
+                if size >= 0:
+                    out.append((limit, doc, number, start, start + len(piece), size, piece))
+                    continue
                 for cut, at, size in _fit(piece, most, path):
                     out.append((limit, doc, number, start + at, start + at + len(cut), size, cut))
             yield pd.DataFrame(out, columns=["limit_name", "id", "cut_no", "start", "end", "tokens", "piece"])
