@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import queries as source_queries
 from . import rule_queries, snapshot_queries, view_queries
 
-_MODULES = (snapshot_queries, rule_queries, view_queries)
+_MODULES = (snapshot_queries, rule_queries, view_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
