@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import content_columns, last_run_rows, table
-from ..session import materialize, shuffle_partitions
+from ..session import materialize
 from .addresses import AddressFields, building_pairs, buildings, parse_addresses
 from .formatting import Copies, collapse_copies
 from .mixing import Mixture, mix_sources
@@ -112,9 +112,7 @@ def p5_entities(spark: SparkSession, folder: str) -> DataFrame:
 def sized_documents(spark: SparkSession, folder: str, path: str = VOCABULARY) -> DataFrame:
     """Documents with the tokens of their whole texts, written once."""
     documents = table(spark, folder, "documents")
-    # few large files would leave cores idle while texts are tokenized
-    spread = documents.select("doc_id", "source", "text").repartition(4 * shuffle_partitions(spark), "doc_id")
-    return materialize(spread.select("doc_id", "source", token_count(F.col("text"), path).alias("tokens")))
+    return materialize(documents.select("doc_id", "source", token_count(F.col("text"), path).alias("tokens")))
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:

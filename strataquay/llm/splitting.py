@@ -1,10 +1,12 @@
 """Oversized texts cut into overlapping pieces at natural boundaries.
 
-A text is taken apart into ranges with a halo.  Workers find the tokens and
-natural boundaries of each range by itself; the ranges' boundary tables are
-stitched in order, prefix sums of their token lengths place the cuts, and the
-pieces are put together by offset from the ranges they touch.  After the first
-step no task holds a whole text, only its boundary table in passing.
+A text longer than one range is taken apart into ranges with a halo.  Workers find
+the tokens and natural boundaries of each range by itself; the ranges' boundary
+tables are stitched in order, prefix sums of their token lengths place the cuts,
+and the pieces are put together by offset from the ranges they touch.  After the
+first step no task holds a whole long text, only its boundary table in passing.
+A text of one range has its whole table at hand and is cut where it is read,
+without any shuffle.
 """
 
 from __future__ import annotations
@@ -197,6 +199,25 @@ def split_texts(
     # a letter has at most four bytes and a token at least one: shorter texts can't be above any limit
     chosen = chosen.where(F.lit(False) if smallest is None else F.octet_length("text") > smallest)
 
+    names = ["limit_name", "id", "cut_no", "start", "end", "tokens", "piece"]
+    schema = "limit_name string, id bigint, cut_no int, start bigint, end bigint, tokens int, piece string"
+
+    def cut_short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for doc, whole in frame[["id", "text"]].itertuples(index=False, name=None):
+                ends, sizes, kinds = boundary_table(whole, path)
+                for limit, most, overlap in rules:
+                    if sizes.sum() <= most:
+                        continue
+                    for number, (a, b, size, sure) in enumerate(_plan_cuts(iter([(ends, sizes, kinds)]), most, overlap)):
+                        parts = [(whole[a:b], 0, size)] if sure else _fit(whole[a:b], most, path)
+                        out += [(limit, doc, number, a + at, a + at + len(cut), tokens, cut) for cut, at, tokens in parts]
+            yield pd.DataFrame(out, columns=names)
+
+    short = chosen.where(F.char_length("text") <= range_chars).mapInPandas(cut_short, schema)
+    chosen = chosen.where(F.char_length("text") > range_chars)
+
     def into_ranges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out: list[tuple] = []
@@ -225,8 +246,6 @@ def split_texts(
                     continue
                 ends, sizes, kinds = boundary_table(own, path)
                 total = int(sizes.sum())
-                if not more and number == 0 and total <= smallest:
-                    continue  # the whole text is here and within every limit
                 if end < len(stretch) and not (stretch[end].isspace() and not stretch[end - 1].isspace()):
                     kinds[-1] = INSIDE
                 at = start - lead + begin
@@ -303,7 +322,6 @@ def split_texts(
                     continue
                 for cut, at, size in _fit(piece, most, path):
                     out.append((limit, doc, number, start + at, start + at + len(cut), size, cut))
-            yield pd.DataFrame(out, columns=["limit_name", "id", "cut_no", "start", "end", "tokens", "piece"])
+            yield pd.DataFrame(out, columns=names)
 
-    finished = joined.mapInPandas(finish, "limit_name string, id bigint, cut_no int, start bigint, end bigint, tokens int, piece string")
-    return finished
+    return short.unionByName(joined.mapInPandas(finish, schema))
