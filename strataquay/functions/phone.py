@@ -29,6 +29,12 @@ _BLANKS = r"[\s 　]*"
 DIALABLE = f"^{_BLANKS}{_ITEM}(?:{_JOIN}{_ITEM})*{_BLANKS}$"
 
 
+_EDGE = r"[,/;|、，／·\s]"
+_PARTS = f"(?<=^|{_EDGE}){_ONE}{_RANGE}{_EXTENSION}(?:[ ]?(?:\\([^()]*\\)|\\[[^\\[\\]]*\\]))?(?=$|{_EDGE})"
+#: Longer values are taken apart number by number; one pattern over them would nest too deeply.
+_LONG = 1000
+
+
 def unusable_phone(value: Column) -> Column:
     """True for a non-blank text that isn't made up only of dialable numbers.
 
@@ -36,4 +42,7 @@ def unusable_phone(value: Column) -> Column:
     numbers, nationwide numbers, several numbers, line ranges, extensions and
     bracketed remarks are fine.  Null and blank are not unusable.
     """
-    return ~is_blank(value) & ~F.coalesce(F.rlike(value, F.lit(DIALABLE)), F.lit(True))
+    even = F.regexp_replace(value, r"\s+", " ")
+    rest = F.regexp_replace(even, _PARTS, "")
+    fine = F.when(F.length(even) > _LONG, F.rlike(rest, F.lit(f"^{_EDGE}*$")) & F.rlike(even, F.lit(_PARTS))).otherwise(F.rlike(even, F.lit(DIALABLE)))
+    return ~is_blank(value) & ~F.coalesce(fine, F.lit(True))

@@ -16,7 +16,8 @@ def is_blank(value: Column) -> Column:
 
 def trimmed(value: Column) -> Column:
     """White space of every kind cut from both ends; null gives empty text."""
-    ends = f"^{SPACE_CLASS}+|{SPACE_CLASS}+$"
+    # the look-behind keeps long runs inside a text from being walked from each of their letters
+    ends = f"^{SPACE_CLASS}+|(?<!{SPACE_CLASS}){SPACE_CLASS}+$"
     return F.regexp_replace(F.coalesce(value, F.lit("")), ends, "")
 
 

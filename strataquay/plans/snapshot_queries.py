@@ -224,7 +224,7 @@ _P2_CELLS = f"""flagged AS (
   LEFT JOIN (SELECT DISTINCT cot_theme_id, cot_theme_sub_id FROM theme_categories) c USING (cot_theme_id, cot_theme_sub_id)),
 long AS (
   SELECT row_id, run_tag, cot_theme_id, 'cot_tel_no' AS column_name, CASE WHEN {_BLANK.format(c='cot_tel_no')} THEN NULL ELSE cot_tel_no END AS txt, NULL::DOUBLE AS num,
-    coalesce(NOT ({_BLANK.format(c='cot_tel_no')}) AND NOT regexp_full_match(cot_tel_no, '{DIALABLE}'), false) AS unusable FROM flagged
+    coalesce(NOT ({_BLANK.format(c='cot_tel_no')}) AND NOT regexp_full_match(regexp_replace(cot_tel_no, '\\s+', ' ', 'g'), '{DIALABLE}'), false) AS unusable FROM flagged
   UNION ALL SELECT row_id, run_tag, cot_theme_id, 'cot_coord_x', NULL, cot_coord_x,
     coalesce(isnan(cot_coord_x) OR NOT cot_coord_x BETWEEN 124 AND 132, false) FROM flagged
   UNION ALL SELECT row_id, run_tag, cot_theme_id, 'cot_coord_y', NULL, cot_coord_y,

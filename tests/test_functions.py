@@ -28,7 +28,7 @@ def test_not_dialable(text):
 
 
 def test_unusable_phone_column(spark):
-    rows = [(t, False) for t in [*GOOD, None, "", " \t　"]] + [(t, True) for t in BAD] + [("1" * 100_000, True)]
+    rows = [(t, False) for t in [*GOOD, None, "", " \t　"]] + [(t, True) for t in BAD] + [("1" * 100_000, True), (", ".join(["02-2345-6789"] * 20_000), False), (" " * 50_000 + "x", True), ("02-2345-6789" + " " * 50_000, False)]
     got = spark.createDataFrame(rows, "t string, want boolean").select("t", "want", unusable_phone(F.col("t")).alias("got")).where("got is null or got <> want").collect()
     assert got == []
 
