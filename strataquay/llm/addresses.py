@@ -37,7 +37,8 @@ class AddressFields:
 def _plain(text: Column) -> Column:
     """Unified width, separators and marks."""
     out = F.translate(composed_hangul(F.coalesce(text, F.lit(""))), _WIDE, _NARROW)
-    out = F.regexp_replace(out, r"(?i)gil", "길")
+    out = F.regexp_replace(F.regexp_replace(out, r"[\s\p{Z}]+", " "), r"(?i)gil", "길")
+    # all repetitions are bounded, or long texts would be walked again from every letter
     out = F.regexp_replace(out, r"\(?\s*(?:지번|도로명)\s*(?:주소)?\s*[):]", " ")
     out = F.regexp_replace(out, r"[「」『』\[\]'\"“”‘’_·|/.]", " ")
     # a dash joins only digits; elsewhere it stands for a space
@@ -76,9 +77,9 @@ def parse_addresses(rows: DataFrame, columns: AddressFields, *, city: str, distr
         rest = F.regexp_replace(F.regexp_replace(text, whole, " "), bare, " ")
         rows = rows.withColumns({f"_g{i}": gu, f"_r{i}": F.trim(F.regexp_replace(rest, r"\s+", " "))})
 
-    side = r"([가-힣]+)\s*([0-9]{1,3})\s*길\s*([0-9]{1,7})(?:\s*-\s*([0-9]{1,6}))?(층|호)?"
-    plain_road = r"([가-힣]+로)\s*([0-9]{1,4}+)(?:\s*-\s*([0-9]{1,6}))?(층|호)?(?!\s*길)"
-    lot = r"([가-힣]+동)\s*(산)?\s*([0-9]{1,5})(?![0-9]*(?:층|호))(?:\s*(?:-|의)\s*([0-9]{1,4})|번지\s*([0-9]{1,4})\s*호)?"
+    side = r"([가-힣]{1,12})\s*([0-9]{1,3})\s*길\s*([0-9]{1,7})(?:\s*-\s*([0-9]{1,6}))?(층|호)?"
+    plain_road = r"([가-힣]{1,12}로)\s*([0-9]{1,4}+)(?:\s*-\s*([0-9]{1,6}))?(층|호)?(?!\s*길)"
+    lot = r"([가-힣]{1,12}동)\s*(산)?\s*([0-9]{1,5})(?![0-9]*(?:층|호))(?:\s*(?:-|의)\s*([0-9]{1,4})|번지\s*([0-9]{1,4})\s*호)?"
     loose_lot = r"(?:^|[ ,])([가-힣]{2,6})\s*(산)?\s*([0-9]{1,5})(?:\s*(?:-|의)\s*([0-9]{1,4})|번지\s*([0-9]{1,4})\s*호|번지)"
     dong = r"(?:^|[ ,(])([가-힣]{2,6}동)(?=[ ,)]|$)"
 

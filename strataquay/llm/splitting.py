@@ -25,9 +25,10 @@ from ..session import materialize, shuffle_partitions
 from .tokens import VOCABULARY, encoder
 
 INSIDE, WORD, SENTENCE, LINE, PARAGRAPH = -1, 0, 1, 2, 3
-_BREAKS = regex.compile(r"\s*(?:\r\n|\r|\n|\u2028|\u2029)\s*")
+# look-behinds and possessive repetitions: every run is walked once
+_BREAKS = regex.compile(r"(?<!\s)[^\S\r\n\u2028\u2029]*+(?:\r\n|\r|\n|\u2028|\u2029)\s*+")
 _NEWLINE = regex.compile(r"\r\n|\r|\n|\u2028")
-_SENTENCE = regex.compile(r"[.!?…。！？][.!?…。！？]*[\"'”’」』)\]]*(?=\s|$)|[。！？]+[」』”’]*")
+_SENTENCE = regex.compile(r"(?<![.!?…。！？])(?:[.!?…。！？]++[\"'”’」』)\]]*+(?=\s|$)|[。！？]++[」』”’]*+)")
 #: Words of more tokens than this may be cut inside; shorter ones are units.
 _LONG_WORD = 12
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)

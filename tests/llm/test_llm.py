@@ -239,7 +239,7 @@ def test_mixture_of_nothing(spark):
 
 TEXTS = {
     1: "한 문장입니다. 또 한 문장입니다!\n" * 80, 2: "paragraph one is here.\r\n\r\nparagraph two, longer than one.\r\n" * 60, 3: "가나다라마바사아" * 700, 4: "", 5: None, 6: " " * 5000, 7: "\n" * 3000,
-    8: "emoji 😀👩‍👩‍👧 and 'quotes' don't break; 1234567890 " * 90, 9: "short", 10: '{"a":["도담구",1.5,null],"b":"\\uac00"}' * 200, 11: unicodedata.normalize("NFD", "각난달람 ") * 400, 12: "a\r\n \t\n  b c\n" * 300,
+    8: "emoji 😀👩‍👩‍👧 and 'quotes' don't break; 1234567890 " * 90, 9: "short", 10: '{"a":["도담구",1.5,null],"b":"\\uac00"}' * 200, 11: unicodedata.normalize("NFD", "각난달람 ") * 400, 13: "." * 40_000 + "x" + " " * 40_000 + "y", 12: "a\r\n \t\n  b c\n" * 300,
 }
 
 
