@@ -38,7 +38,7 @@ def _one(check: Callable[[R.RuleInput], DataFrame], spark: SparkSession, folder:
 def facts_all(spark: SparkSession, folder: str) -> DataFrame:
     """The facts of every row."""
     return rule_input(spark, folder).facts.select(
-        "row_id", "key", "norm", "status", "is_point", "point_key", "located", "addr_in_city", "addr_gu", "addr_field"
+        "row_id", "key", "norm", "status", "is_point", "point_key", "located", F.col("addr_in_city").cast("string").alias("addr_in_city"), "addr_gu", "addr_field"
     )
 
 
