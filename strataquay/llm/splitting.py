@@ -38,7 +38,7 @@ _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
 def _classes() -> np.ndarray:
     """Class of every code point, as the tokenizer's pattern tells them apart."""
     table = np.full(0x110000, _OTHER, np.uint8)
-    for code in range(0x110000):
+    for code in range(0x32000):  # no letters, digits or blanks are assigned beyond
         kind = unicodedata.category(chr(code))[0]
         if kind == "L":
             table[code] = _LETTER
@@ -73,9 +73,9 @@ def _meeting_point(text: str, at: int, halo: int) -> int:
     return at
 
 
-def boundary_table(text: str, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def boundary_table(text: str, path: str, tokens: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit ends, tokens of each unit, and the kind of boundary after it, for one stretch of text."""
-    tokens = np.array(encoder(path).encode_ordinary(text), np.int64)
+    tokens = np.array(encoder(path).encode_ordinary(text) if tokens is None else tokens, np.int64)
     if not len(tokens):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -206,10 +206,14 @@ def split_texts(
     def cut_short(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
+            encode = encoder(path).encode_ordinary
             for doc, whole in frame[["id", "text"]].itertuples(index=False, name=None):
-                ends, sizes, kinds = boundary_table(whole, path)
+                tokens = encode(whole)
+                if len(tokens) <= smallest:
+                    continue
+                ends, sizes, kinds = boundary_table(whole, path, tokens)
                 for limit, most, overlap in rules:
-                    if sizes.sum() <= most:
+                    if len(tokens) <= most:
                         continue
                     for number, (a, b, size, sure) in enumerate(_plan_cuts(iter([(ends, sizes, kinds)]), most, overlap)):
                         parts = [(whole[a:b], 0, size)] if sure else _fit(whole[a:b], most, path)
