@@ -66,16 +66,22 @@ def parse_addresses(rows: DataFrame, columns: AddressFields, *, city: str, distr
         *[t.alias(f"_t{i}") for i, t in enumerate(texts)],
         (F.col(columns.district_hint) if columns.district_hint else F.lit(None).cast("string")).alias("hint"),
     )
-    whole, bare = f"({names})구", f"(?:^|[ ,(])({names})(?=[ ,)]|$)"
-    for i in range(len(texts)):
-        # the city first, so that a district may follow it without a space
-        text = F.regexp_replace(f"_t{i}", f"(?:^|(?<=[ ,(]))(?:{city})(?!대?로|길)", " ")
-        # a known district right after the city may be glued to a road name: needs its ending there
-        gu = F.coalesce(
-            _nullable(F.regexp_extract(text, whole, 1)), _nullable(F.regexp_extract(text, bare, 1))
-        )
-        rest = F.regexp_replace(F.regexp_replace(text, whole, " "), bare, " ")
-        rows = rows.withColumns({f"_g{i}": gu, f"_r{i}": F.trim(F.regexp_replace(rest, r"\s+", " "))})
+    # the first letters are looked at before the names are tried one by one
+    heads = f"(?=[{''.join(sorted({d[0] for d in stems}))}])" if stems else ""
+    whole, bare = f"{heads}({names})구", f"(?:^|(?<=[ ,(])){heads}({names})(?=[ ,)]|$)"
+    n = range(len(texts))
+    # step by step, so that no pattern runs again where its result is used
+    rows = rows.withColumns({f"_c{i}": F.regexp_replace(f"_t{i}", f"(?:^|(?<=[ ,(]))(?:{city})(?!대?로|길)", " ") for i in n})
+    rows = rows.withColumns({f"_w{i}": F.regexp_extract(f"_c{i}", whole, 1) for i in n})
+    rows = rows.withColumns({f"_b{i}": F.when(F.col(f"_w{i}") == "", F.regexp_extract(f"_c{i}", bare, 1)).otherwise("") for i in n})
+    rows = rows.withColumns(
+        {
+            f"_r{i}": F.when(F.col(f"_w{i}") != "", F.regexp_replace(f"_c{i}", whole, " "))
+            .when(F.col(f"_b{i}") != "", F.regexp_replace(f"_c{i}", bare, " "))
+            .otherwise(F.col(f"_c{i}"))
+            for i in n
+        }
+    )
 
     side = r"([가-힣]{1,12})\s*([0-9]{1,3})\s*길\s*([0-9]{1,7})(?:\s*-\s*([0-9]{1,6}))?(층|호)?"
     plain_road = r"([가-힣]{1,12}로)\s*([0-9]{1,4}+)(?:\s*-\s*([0-9]{1,6}))?(층|호)?(?!\s*길)"
@@ -91,36 +97,41 @@ def parse_addresses(rows: DataFrame, columns: AddressFields, *, city: str, distr
         short_sub = F.when((sub != "") & (F.length(sub) > cut), F.substring(sub, F.lit(1), F.length(sub) - cut)).otherwise(kept(sub))
         return F.concat_ws("/", short_main, short_sub)
 
-    def road_of(text: Column) -> Column:
-        by_side = F.struct(
-            F.regexp_extract(text, side, 1).alias("road"),
-            F.concat_ws("/", F.regexp_extract(text, side, 2), number(*[F.regexp_extract(text, side, k) for k in (3, 4, 5)])).alias("rno"),
-        )
-        by_road = F.struct(
-            F.regexp_extract(text, plain_road, 1).alias("road"),
-            F.concat_ws("/", F.lit(""), number(*[F.regexp_extract(text, plain_road, k) for k in (2, 3, 4)])).alias("rno"),
+    def marked(text: Column, pattern: str, count: int) -> Column:
+        """The groups of the first match joined by bars, else the text, which has none."""
+        return F.regexp_replace(text, f"(?s)^.*?{pattern}.*$", "|".join(f"${k}" for k in range(1, count + 1)))
+
+    def groups(column: str) -> Column:
+        return F.when(F.contains(column, F.lit("|")), F.split(column, r"\|"))
+
+    def road_of(by_side: Column, by_road: Column) -> Column:
+        return F.when(
+            by_side.isNotNull(),
+            F.struct(by_side[0].alias("road"), F.concat_ws("/", by_side[1], number(by_side[2], by_side[3], by_side[4])).alias("rno")),
+        ).when(
+            by_road.isNotNull(),
+            F.struct(by_road[0].alias("road"), F.concat_ws("/", F.lit(""), number(by_road[1], by_road[2], by_road[3])).alias("rno")),
         )
-        return F.when(F.rlike(text, F.lit(side)), by_side).when(F.rlike(text, F.lit(plain_road)), by_road)
-
-    def lot_of(text: Column, pattern: str) -> Column:
-        found = F.struct(
-            F.regexp_extract(text, pattern, 1).alias("dong"),
-            F.concat_ws(
-                "/",
-                F.regexp_extract(text, pattern, 2),
-                F.regexp_extract(text, pattern, 3),
-                F.concat(F.regexp_extract(text, pattern, 4), F.regexp_extract(text, pattern, 5)),
-            ).alias("lot"),
+
+    def lot_of(found: Column) -> Column:
+        return F.when(
+            found.isNotNull(),
+            F.struct(found[0].alias("dong"), F.concat_ws("/", found[1], found[2], F.concat(found[3], found[4])).alias("lot")),
         )
-        return F.when(F.rlike(text, F.lit(pattern)), found)
 
-    n = range(len(texts))
     rest = [F.col(f"_r{i}") for i in n]
-    roadless = [F.when(~F.rlike(r, F.lit(side)) & ~F.rlike(r, F.lit(plain_road)), r) for r in rest]
+    # step by step, so that no pattern runs again where its groups are used
+    rows = rows.withColumns({f"_side{i}": marked(rest[i], side, 5) for i in n} | {f"_lot{i}": marked(rest[i], lot, 5) for i in n})
+    rows = rows.withColumns({f"_{kind}{i}": groups(f"_{kind}{i}") for kind in ("side", "lot") for i in n})
+    rows = rows.withColumns({f"_plain{i}": F.when(F.col(f"_side{i}").isNull(), marked(rest[i], plain_road, 4)) for i in n})
+    rows = rows.withColumns({f"_plain{i}": groups(f"_plain{i}") for i in n})
+    roadless = [F.col(f"_side{i}").isNull() & F.col(f"_plain{i}").isNull() & F.col(f"_lot{i}").isNull() for i in n]
+    rows = rows.withColumns({f"_loose{i}": F.when(roadless[i], marked(rest[i], loose_lot, 5)) for i in n})
+    rows = rows.withColumns({f"_loose{i}": groups(f"_loose{i}") for i in n})
     rows = rows.withColumns(
         {
-            "_road": F.coalesce(*map(road_of, rest)),
-            "_lot": F.coalesce(*[lot_of(r, lot) for r in reversed(rest)], *[lot_of(r, loose_lot) for r in reversed(roadless)]),
+            "_road": F.coalesce(*[road_of(F.col(f"_side{i}"), F.col(f"_plain{i}")) for i in n]),
+            "_lot": F.coalesce(*[lot_of(F.col(f"_{kind}{i}")) for kind in ("lot", "loose") for i in reversed(n)]),
             "_dong": F.coalesce(*[_nullable(F.regexp_extract(r, dong, 1)) for r in rest]),
         }
     )
@@ -137,7 +148,7 @@ def parse_addresses(rows: DataFrame, columns: AddressFields, *, city: str, distr
     )
     return rows.select(
         "id",
-        F.coalesce(*[F.col(f"_g{i}") for i in n]).alias("gu"),
+        F.coalesce(*[_nullable(F.col(f"_{kind}{i}")) for i in n for kind in "wb"]).alias("gu"),
         F.col("_road.road").alias("road"),
         F.col("_road.rno").alias("rno"),
         F.coalesce("_lot.dong", "_dong").alias("dong"),
@@ -273,14 +284,19 @@ def buildings(parsed: DataFrame, *, containment: float = 0.8) -> DataFrame:
 
     # --- buildings: addresses tied by a shared road number, lot number or containment -------
     key = lambda *parts: F.xxhash64(*[F.coalesce(p if isinstance(p, Column) else F.col(p), F.lit("\x01")) for p in parts])
+    keyed = (
+        weighed.where("rno is not null").select("form", key(F.lit("r"), "gu", "road", "rno").alias("_key"))
+        .unionByName(weighed.where("lot is not null").select("form", key(F.lit("l"), "gu", "dong", "lot").alias("_key")))
+    )
+    # only keys that several addresses share tie anything: each of these to the smallest of them
+    shared_keys = keyed.groupBy("_key").agg(F.min("form").alias("_low"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     edges = (
-        weighed.where("rno is not null").select(F.col("form").alias("a"), key(F.lit("r"), "gu", "road", "rno").alias("b"))
-        .unionByName(weighed.where("lot is not null").select(F.col("form").alias("a"), key(F.lit("l"), "gu", "dong", "lot").alias("b")))
+        keyed.join(shared_keys, "_key").where("form <> _low").select(F.col("form").alias("a"), F.col("_low").alias("b"))
         .unionByName(links.select(F.col("form").alias("a"), F.col("f_form").alias("b")))
     )
     labels = connected_components(edges)
     original = with_number.withColumn("form", F.xxhash64(*[F.coalesce(c, F.lit("\x01")) for c in _COMPONENTS])).select("id", "form")
-    return original.join(labels, original.form == labels.node).select("id", F.col("component").alias("building"))
+    return original.join(labels, original.form == labels.node, "left").select("id", F.coalesce("component", "form").alias("building"))
 
 
 def building_pairs(members: DataFrame, *, id_column: str, group: str, text: Column, rows_per_salt: int = 1000) -> DataFrame:

@@ -54,7 +54,7 @@ def row_buildings(spark: SparkSession, folder: str, rows: DataFrame) -> DataFram
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = last_run_rows(spark, folder).select("row_id", *_ADDRESS.fields, "cot_gu_name")
+    rows = materialize(last_run_rows(spark, folder).select("row_id", *_ADDRESS.fields, "cot_gu_name"))
     found = row_buildings(spark, folder, rows)
     text = F.concat_ws("\x01", *[F.coalesce(c, F.lit("")) for c in _ADDRESS.fields])
     members = found.join(rows.select("row_id", text.alias("text")), found.id == rows.row_id).select("row_id", "building", "text")
@@ -72,7 +72,7 @@ def p6_buildings(spark: SparkSession, folder: str) -> DataFrame:
 
 def name_entities(spark: SparkSession, folder: str) -> DataFrame:
     """``id, entity, name`` of the last run's rows whose name is linked to another row's."""
-    rows = last_run_rows(spark, folder).select("row_id", "cot_conts_name", "cot_coord_x", "cot_coord_y", *_ADDRESS.fields, "cot_gu_name")
+    rows = materialize(last_run_rows(spark, folder).select("row_id", "cot_conts_name", "cot_coord_x", "cot_coord_y", *_ADDRESS.fields, "cot_gu_name"))
     housed = row_buildings(spark, folder, rows)
     x, y = mended_position(F.col("cot_coord_x"), F.col("cot_coord_y"))
     named = rows.select("row_id", "cot_conts_name", x.alias("x"), y.alias("y")).join(
