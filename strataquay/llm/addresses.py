@@ -5,7 +5,7 @@ number, named building).  A set-containment join fills missing parts: every
 distinct address is indexed by its rarest token, fuller addresses probe with
 all of theirs, and a match is kept if the weighted containment is high and no
 component contradicts.  Misspelt road and neighbourhood names are first mended
-against the names that many places use.  Records tied through a shared road or lot
+against the names that far more places use.  Records tied through a shared road or lot
 address, directly or by such a match, form one building.
 """
 
@@ -158,18 +158,23 @@ def parse_addresses(rows: DataFrame, columns: AddressFields, *, city: str, distr
 
 
 def _one_apart(names: DataFrame, left: str, right: str) -> DataFrame:
-    """Pairs of ``names(name, places)`` one letter or one swap of neighbours apart, rare name first."""
+    """Pairs of ``names(name, places, weight)`` one letter or one swap of neighbours apart, rare name first.
+
+    A rare name has at most a third of the known one's places, or of its weight, and beyond three
+    (chance) at most a 32nd: wrong spellings are a small share of a name at every size, and other names are not.
+    """
     cuts = F.expr("transform(sequence(1, length(name)), i -> concat(substring(name, 1, i - 1), substring(name, i + 1)))")
     variants = names.select("*", F.explode(F.array_distinct(F.array_append(cuts, F.col("name")))).alias("_cut"))
-    rare = variants.select(F.col("name").alias(left), F.col("places").alias("_few"), "_cut")
-    known = variants.select(F.col("name").alias(right), F.col("places").alias("_many"), "_cut")
+    rare = variants.select(F.col("name").alias(left), F.col("places").alias("_few"), F.col("weight").alias("_light"), "_cut")
+    known = variants.select(F.col("name").alias(right), F.col("places").alias("_many"), F.col("weight").alias("_heavy"), "_cut")
+    far_less = lambda few, many: F.col(many) >= F.greatest(F.lit(3), 3 * F.col(few), 32 * (F.col(few) - 3))
     swapped = (F.length(left) == F.length(right)) & (F.levenshtein(F.col(left), F.col(right)) == 2) & (
         F.array_sort(F.split(left, "")) == F.array_sort(F.split(right, ""))
     )
     return (
         rare.join(known, "_cut")
-        .where((F.col(left) != F.col(right)) & (F.col("_few") <= 3) & (F.col("_many") >= F.greatest(F.lit(3), 3 * F.col("_few"))))
-        .select(left, right, "_many")
+        .where((F.col(left) != F.col(right)) & (far_less("_few", "_many") | (far_less("_light", "_heavy") & (F.col("_few") > 3))))
+        .select(left, right)
         .distinct()
         .where((F.levenshtein(F.col(left), F.col(right)) <= 1) | swapped)
     )
@@ -192,8 +197,10 @@ def buildings(parsed: DataFrame, *, containment: float = 0.8) -> DataFrame:
     )
     # --- mend rare spellings of road and neighbourhood names -------------------------------
     def mended(kind: str, number: str) -> DataFrame:
+        # places saturate where the same numbers come again and again, rows lean to one crowded number: the weight does neither
+        numbers = forms.where(F.col(number).isNotNull()).groupBy(F.col(kind).alias("name"), number).agg(F.sum("n").alias("_n"))
         names = materialize(
-            forms.where(F.col(number).isNotNull()).groupBy(F.col(kind).alias("name")).agg(F.countDistinct(number).alias("places"))
+            numbers.groupBy("name").agg(F.count(F.lit(1)).alias("places"), (F.count(F.lit(1)) * F.median("_n")).alias("weight"))
         )
         return materialize(_one_apart(names, kind, "right_name").select(kind, F.col("right_name")))
 
@@ -212,17 +219,21 @@ def buildings(parsed: DataFrame, *, containment: float = 0.8) -> DataFrame:
             .agg(F.min("right_name").alias(column), F.countDistinct("right_name").alias("_k")).where("_k = 1").drop("_k")
         )
 
+    # an address with both numbers isn't mended to a name whose own other numbers differ, but for a lone word, which is only one of both
+    fits = lambda others, own: F.coalesce(F.array_contains(others, F.col(own)), F.lit(False)).cast("int")
+    speaks_for = lambda others, own: F.col("_lone") | F.col(own).isNull() | (F.size(others) == 0) | F.array_contains(others, F.col(own))
+    marked = forms.withColumn("_lone", F.coalesce(F.col("road") == F.col("dong"), F.lit(False)))
     road_options = (
-        forms.where("rno is not null").join(roads, "road").drop("road")
+        marked.where("rno is not null").join(roads, "road").drop("road")
         .join(known_road.withColumnRenamed("road", "right_name"), ["right_name", "rno"])
-        .where(agrees("_road_gus"))
-        .select("form", "right_name", F.coalesce(F.array_contains("_road_lots", F.col("lot")), F.lit(False)).cast("int").alias("_fit"))
+        .where(agrees("_road_gus") & speaks_for("_road_lots", "lot"))
+        .select("form", "right_name", fits("_road_lots", "lot").alias("_fit"))
     )
     dong_options = (
-        forms.where("lot is not null").join(dongs, "dong").drop("dong")
+        marked.where("lot is not null").join(dongs, "dong").drop("dong")
         .join(known_lot.withColumnRenamed("dong", "right_name"), ["right_name", "lot"])
-        .where(agrees("_lot_gus"))
-        .select("form", "right_name", F.coalesce(F.array_contains("_lot_rnos", F.col("rno")), F.lit(False)).cast("int").alias("_fit"))
+        .where(agrees("_lot_gus") & speaks_for("_lot_rnos", "rno"))
+        .select("form", "right_name", fits("_lot_rnos", "rno").alias("_fit"))
     )
     forms = (
         forms.join(best_of(road_options, "_road"), "form", "left").join(best_of(dong_options, "_dong"), "form", "left")

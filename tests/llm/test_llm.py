@@ -157,6 +157,17 @@ def test_buildings(spark):
     assert buildings(parsed(spark, [])).count() == 0
 
 
+def test_frequent_misspellings_are_mended(spark):
+    lots = [(1000 + n, None, f"나래구 예바동 {n}-1", None, "나래구", "", 0) for n in range(1, 201)]
+    wrong = [(n, None, f"나래구 예비동 {n}-1", None, "나래구", "", 0) for n in range(1, 7)]
+    other = [(2000 + n, None, f"나래구 예하동 {n}-1", None, "나래구", "", 0) for n in range(1, 61)]  # a name of its own: three times fewer, not far fewer
+    both = [(3000, "나래구 내빛달로 3", "나래구 예바동 201-1", None, "나래구", "", 0), (3001, "나래구 담서호로 9", "나래구 예비동 201-1", None, "나래구", "", 0)]
+    building = {r.id: r.building for r in buildings(parsed(spark, lots + wrong + other + both)).collect()}
+    assert all(building[n] == building[1000 + n] for n in range(1, 7))
+    assert all(building[2000 + n] != building[1000 + n] for n in range(1, 61))
+    assert building[3000] != building[3001]
+
+
 def test_building_pairs(spark):
     random.seed(6)
     rows = [(i, random.choice([1, 1, 1, 2, None]), random.choice("ab")) for i in range(120)]
