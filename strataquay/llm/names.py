@@ -121,6 +121,16 @@ def _kinds_of(text: str) -> list[tuple[str, str]]:
     return found
 
 
+def _in_order(words: list[str], whole: str, stem: str) -> str:
+    """The words that ``stem``, an end of the joined words ``whole``, is made of, in sorted order."""
+    skip = 0 if whole.startswith(stem) else len(whole) - len(stem)
+    parts, at = [], -skip
+    for word in words:
+        parts.append(word[max(0, -at) : max(0, len(stem) - at)])
+        at += len(word)
+    return "".join(sorted(parts))
+
+
 def parse_name(name: str, brands: frozenset[str]) -> list[Parsed]:
     """The readings of a name; none for names without a letter.  Case and marks don't matter."""
     text = unicodedata.normalize("NFKC", name)
@@ -135,7 +145,8 @@ def parse_name(name: str, brands: frozenset[str]) -> list[Parsed]:
         kept = [w for w in words if w not in brands]
         kept = [w for w in kept if not (2 <= len(w) <= 5 and w.endswith("동") and len(kept) > 1)]
         words = kept or words
-    korean = "".join(w for w in words if "가" <= w[0] <= "힣" or w.isdigit())
+    parts = [w for w in words if "가" <= w[0] <= "힣" or w.isdigit()]
+    korean = "".join(parts)
     latin = [w.strip("'") for w in words if w[0].isascii() and not w.isdigit()]
     kind, stems = "", []
     if latin:
@@ -148,12 +159,13 @@ def parse_name(name: str, brands: frozenset[str]) -> list[Parsed]:
         left = phrase.replace(" ", "").replace("'", "")
         if len(left) >= 3:
             original = "".join(latin)
+            turned = "".join(sorted(phrase.replace("'", "").split()))
             if looks_romanised(left):
-                stems = [left]
+                stems = list(dict.fromkeys((left, turned)))
             else:
                 typed = retyped(original[: len(left)]) or retyped(left)
                 if typed is None:
-                    stems = [left]
+                    stems = list(dict.fromkeys((left, turned)))
                 else:
                     korean = typed + korean
         elif left == "p" and not kind:
@@ -161,19 +173,21 @@ def parse_name(name: str, brands: frozenset[str]) -> list[Parsed]:
         if stems:
             if korean and not kind:
                 exact = _BY_NAME.get(korean) or next((_BY_NAME[n] for n in _NAMES if edit_distance(letters(korean), _NAME_LETTERS[n], 1) <= 1), "")
-                return [Parsed(stems[0], exact, "" if exact else korean, branch)]
-            return [Parsed(stems[0], kind, "", branch)]
+                return [Parsed(stem, exact, "" if exact else korean, branch) for stem in stems]
+            return [Parsed(stem, kind, "", branch) for stem in stems]
     if not korean:
         return []
+    # the words of the stem may stand in another order: sorted, they are a further reading
+    free = len(parts) > 1 and korean == "".join(parts)
     readings: list[Parsed] = []
     if kind:
-        readings.append(Parsed(korean, kind, "", branch))
+        readings += [Parsed(stem, kind, "", branch) for stem in dict.fromkeys((korean, _in_order(parts, korean, korean) if free else korean))]
     elif splits := _kinds_of(korean):
-        readings += [Parsed(stem, found, "", branch) for stem, found in splits]
+        for stem, found in splits:
+            readings += [Parsed(s, found, "", branch) for s in dict.fromkeys((stem, _in_order(parts, korean, stem) if free else stem))]
     else:
-        readings += [Parsed(korean[:n], "", korean[n:], branch) for n in (3, 4, 5) if n <= len(korean) <= n + 6]
-        if not readings:
-            readings.append(Parsed(korean, "", "", branch))
+        for text in dict.fromkeys((korean, _in_order(parts, korean, korean) if free else korean)):
+            readings += [Parsed(text[:n], "", text[n:], branch) for n in (3, 4, 5) if n <= len(text) <= n + 6] or [Parsed(text, "", "", branch)]
     more = []
     for reading in readings:
         if len(reading.stem) >= 6 and reading.stem[2] == "동":

@@ -88,6 +88,11 @@ def test_parse_name(name, want):
     assert want in parse_name(name, BRANDS)
 
 
+def test_words_of_a_stem_in_any_order():
+    for one, two in (("새빛 나눔 도서관", "나눔 새빛 도서관"), ("새빛 나눔도서관", "나눔 새빛도서관"), ("도서관 새빛 나눔", "나눔 새빛 도서관"), ("새빛 나눔", "나눔 새빛"), ("sodanu hamira library", "hamira sodanu library")):
+        assert set(parse_name(one, BRANDS)) & set(parse_name(two, BRANDS))
+
+
 def entities(spark, rows, **more):
     frame = spark.createDataFrame(rows, "id bigint, name string, x double, y double, b bigint, stem string, _b int")
     found = {}
