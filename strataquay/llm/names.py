@@ -268,8 +268,8 @@ def _links(names: list[tuple]) -> Iterator[tuple[int, int]]:
             size = len(stem)
             near = spelled.within(stem, edits if size >= 4 else min(edits, 1) if size == 3 else 0)
         for other, apart in near:
-            if other > stem and not (stem.isascii() or other.isascii()):
-                continue  # met from the other side
+            if (len(other), other) > (len(stem), stem) and not (stem.isascii() or other.isascii()):
+                continue  # met from the other side, whose stem is as long at least and so allows as many edits
             for one in own:
                 for two in by_stem[other]:
                     if one[1] == two[1] or one[5] != two[5]:

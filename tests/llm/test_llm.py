@@ -11,7 +11,7 @@ from strataquay.llm.addresses import AddressFields, building_pairs, buildings, p
 from strataquay.llm.formatting import collapse_copies
 from strataquay.llm.hangul import edit_distance, looks_romanised, retyped, romanised
 from strataquay.llm.mixing import mix_sources
-from strataquay.llm.names import Parsed, link_names, parse_name
+from strataquay.llm.names import Parsed, _links, link_names, parse_name
 from strataquay.llm.packing import pack_in_order, pack_items
 from strataquay.llm.splitting import boundary_table, split_texts
 from strataquay.llm.tokens import VOCABULARY, count, token_count
@@ -101,6 +101,12 @@ def entities(spark, rows, **more):
     return sorted(map(sorted, found.values()))
 
 
+def test_stems_meet_within_the_longer_ones_budget():
+    for short, long in (("하나무", "가다나무"), ("가나무", "하다나무"), ("나무", "가나무"), ("나무", "하나무"), ("하무", "가하무")):
+        held = [(2, i, stem, "약국", "", "") for i, stem in enumerate((short, long))]
+        assert len(list(_links(held))) == 1, (short, long)
+
+
 NAMES = ["소다누사근린공원", "서다누사근린공원", "소다누사·근린공원 ", "근린공원(소다누사)", "sodanusa 근린공원", "소다누사공원", "재단법인 나래 소다누사 근린 공원", "Sodanusa Neighborhood Park"]
 
 
