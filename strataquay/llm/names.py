@@ -5,8 +5,8 @@ branch mark; legal forms, neighbourhoods and district brands are set aside and
 the order of the parts is free.  Distinct names are sharded by where their
 records stand (same building, neighbouring grid cells), each shard is put into
 tries, and a Levenshtein automaton walks them to enumerate the stems within a
-bounded distance.  A match must also agree in branch and in kind; what
-is common to many places never links by name alone.
+bounded distance.  A match must also agree in branch and in kind; where a name stands
+all around, being close is no evidence, and only the same building or position links.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import materialize
+from ..session import materialize, shuffle_partitions
 from .hangul import edit_distance, letters, looks_romanised, retyped, romanised
 from .trie import Trie
 
-# Kinds of places, each with other names in use and its English name.
+# Fixed values, the default of a parameter: kinds of places, each with other names in use and its English name.
 KINDS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "주민센터": (("행정복지센터", "동사무소", "주민자치센터"), ("resident center", "community center")),
     "어린이집": (("보육원",), ("daycare", "daycare center")),
@@ -66,12 +66,22 @@ _MARKS = re.compile(r"[「」『』\[\]'\"“”‘’<>《》〈〉_·.,/|]+")
 _NUMBERED = re.compile(r"(?:제\s*)?([0-9]{1,3})\s*호\s*(?:점|지점|분점)?(?![가-힣0-9])")
 _LETTERED = re.compile(r"(?<![A-Za-z])([A-Za-z])\s*동(?![가-힣])")
 _WORDS = re.compile(r"[가-힣]+|[A-Za-z']+|[0-9]+")
-_BY_NAME = {text: kind for kind, (others, _) in KINDS.items() for text in (kind, *others)}
-_BY_ENGLISH = {text: kind for kind, (_, english) in KINDS.items() for text in english}
-_NAMES = sorted(_BY_NAME, key=lambda t: (-len(t), t))
-_ENGLISH = sorted(_BY_ENGLISH, key=lambda t: (-len(t), t))
-_NAME_LETTERS = {t: letters(t) for t in _NAMES}
-_NAME_SETS = {t: set(t) for t in _NAMES}
+
+
+class Kinds:
+    """A list of kinds, indexed by every name they go by."""
+
+    def __init__(self, kinds: Mapping[str, tuple[Sequence[str], Sequence[str]]]) -> None:
+        self.others = {kind: tuple(others) for kind, (others, _) in kinds.items()}
+        self.by_name = {text: kind for kind, (others, _) in kinds.items() for text in (kind, *others)}
+        self.by_english = {text: kind for kind, (_, english) in kinds.items() for text in english}
+        self.names = sorted(self.by_name, key=lambda t: (-len(t), t))
+        self.english = sorted(self.by_english, key=lambda t: (-len(t), t))
+        self.letters = {t: letters(t) for t in self.names}
+        self.syllables = {t: set(t) for t in self.names}
+
+
+_KINDS = Kinds(KINDS)
 
 
 @dataclass(frozen=True)
@@ -84,13 +94,13 @@ class Parsed:
     branch: str
 
 
-def _kinds_of(text: str) -> list[tuple[str, str]]:
+def _kinds_of(text: str, kinds: Kinds) -> list[tuple[str, str]]:
     """Stems and kinds of ``text``; the kind may stand first or last and be slightly misspelt."""
     found: list[tuple[str, str]] = []
     exact = 0
-    for name in _NAMES:
+    for name in kinds.names:
         if len(text) > len(name) + 1 and (text.endswith(name) or text.startswith(name)):
-            exact, kind = len(name), _BY_NAME[name]
+            exact, kind = len(name), kinds.by_name[name]
             stem = text[:-exact] if text.endswith(name) else text[exact:]
             found.append((stem, kind))
             if len(stem) >= 5 and stem.endswith(kind[:2]):
@@ -99,8 +109,8 @@ def _kinds_of(text: str) -> list[tuple[str, str]]:
                 return found  # no room for a longer kind
             break
     best: tuple[int, int, str, str] | None = None
-    for name in _NAMES:
-        size, spelled = len(name), _NAME_LETTERS[name]
+    for name in kinds.names:
+        size, spelled = len(name), kinds.letters[name]
         if size <= exact:
             break
         allowed = 1 if size < 3 else 2
@@ -109,13 +119,13 @@ def _kinds_of(text: str) -> list[tuple[str, str]]:
                 continue
             for stem, part in ((text[:-cut], text[-cut:]), (text[cut:], text[:cut])):
                 # one misspelt letter or two, or one syllable dropped, doubled or swapped
-                if not set(part) & _NAME_SETS[name]:
+                if not set(part) & kinds.syllables[name]:
                     continue
                 d = edit_distance(letters(part), spelled, allowed)
                 if d > allowed and size >= 3:
                     d = edit_distance(part, name, 1) + 1
                 if 0 < d <= allowed and (best is None or (d, -size) < best[:2]):
-                    best = (d, -size, stem, _BY_NAME[name])
+                    best = (d, -size, stem, kinds.by_name[name])
     if best is not None:
         found.append((best[2], best[3]))
     return found
@@ -131,7 +141,7 @@ def _in_order(words: list[str], whole: str, stem: str) -> str:
     return "".join(sorted(parts))
 
 
-def parse_name(name: str, brands: frozenset[str]) -> list[Parsed]:
+def parse_name(name: str, brands: frozenset[str], kinds: Kinds = _KINDS) -> list[Parsed]:
     """The readings of a name; none for names without a letter.  Case and marks don't matter."""
     text = unicodedata.normalize("NFKC", name)
     text = _FORMS.sub(" ", _MARKS.sub(" ", text))
@@ -151,9 +161,9 @@ def parse_name(name: str, brands: frozenset[str]) -> list[Parsed]:
     kind, stems = "", []
     if latin:
         phrase = " ".join(latin).lower()
-        for english in _ENGLISH:
+        for english in kinds.english:
             if phrase == english or phrase.endswith(" " + english) or phrase.startswith(english + " "):
-                kind = _BY_ENGLISH[english]
+                kind = kinds.by_english[english]
                 phrase = phrase.removesuffix(english) if phrase.endswith(english) else phrase.removeprefix(english)
                 break
         left = phrase.replace(" ", "").replace("'", "")
@@ -172,7 +182,7 @@ def parse_name(name: str, brands: frozenset[str]) -> list[Parsed]:
             korean += "주차장"
         if stems:
             if korean and not kind:
-                exact = _BY_NAME.get(korean) or next((_BY_NAME[n] for n in _NAMES if edit_distance(letters(korean), _NAME_LETTERS[n], 1) <= 1), "")
+                exact = kinds.by_name.get(korean) or next((kinds.by_name[n] for n in kinds.names if edit_distance(letters(korean), kinds.letters[n], 1) <= 1), "")
                 return [Parsed(stem, exact, "" if exact else korean, branch) for stem in stems]
             return [Parsed(stem, kind, "", branch) for stem in stems]
     if not korean:
@@ -182,7 +192,7 @@ def parse_name(name: str, brands: frozenset[str]) -> list[Parsed]:
     readings: list[Parsed] = []
     if kind:
         readings += [Parsed(stem, kind, "", branch) for stem in dict.fromkeys((korean, _in_order(parts, korean, korean) if free else korean))]
-    elif splits := _kinds_of(korean):
+    elif splits := _kinds_of(korean, kinds):
         for stem, found in splits:
             readings += [Parsed(s, found, "", branch) for s in dict.fromkeys((stem, _in_order(parts, korean, stem) if free else stem))]
     else:
@@ -206,7 +216,7 @@ def _within(short: str, long: str) -> bool:
     return all(ch in rest for ch in short)
 
 
-def same_kind(a: tuple[str, str], b: tuple[str, str]) -> int:
+def same_kind(a: tuple[str, str], b: tuple[str, str], kinds: Kinds = _KINDS) -> int:
     """2 if the kinds agree, 1 if one is unknown but doesn't speak against the other, 0 if they differ."""
     (kind_a, rest_a), (kind_b, rest_b) = a, b
     if kind_a and kind_b:
@@ -216,27 +226,28 @@ def same_kind(a: tuple[str, str], b: tuple[str, str]) -> int:
     if not kind_a and not kind_b:
         return 2 if rest_a == rest_b or (rest_a and rest_b and edit_distance(letters(rest_a), letters(rest_b), 2) <= 2) else 1
     kind, rest = (kind_a, rest_b) if kind_a else (kind_b, rest_a)
-    if rest and any(_within(rest, t) for t in (kind, *KINDS[kind][0])):
+    if rest and any(_within(rest, t) for t in (kind, *kinds.others[kind])):
         return 2
     return 1
 
 
 _SHARD_SCHEMA = "a bigint, b bigint"
+_SHARD_COLUMNS = ["_shard", "_edits", "_rep", "stem", "kind", "rest", "branch", "_chunk", "_mixed", "_latin"]
 
 
-def _link_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _link_shards(frames: Iterator[pd.DataFrame], kinds: Kinds) -> Iterator[pd.DataFrame]:
     """Links between the distinct names of each shard; a partition's shards come one after the other."""
     held: list[tuple] = []
     links: list[tuple[int, int]] = []
 
     def close() -> None:
         if len(held) > 1:
-            links.extend(_links(held))
+            links.extend(_links(held, kinds))
         held.clear()
 
     shard = None
     for frame in frames:
-        for row in frame[["_shard", "_edits", "_rep", "stem", "kind", "rest", "branch"]].itertuples(index=False, name=None):
+        for row in frame[_SHARD_COLUMNS].itertuples(index=False, name=None):
             if row[0] != shard:
                 close()
                 shard = row[0]
@@ -249,18 +260,24 @@ def _link_shards(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(links, columns=["a", "b"])
 
 
-def _links(names: list[tuple]) -> Iterator[tuple[int, int]]:
-    by_stem: dict[str, list[tuple]] = {}
+def _links(names: list[tuple], kinds: Kinds = _KINDS) -> Iterator[tuple[int, int]]:
+    """Links among ``edits, rep, stem, kind, rest, branch, chunk, mixed, latin`` of one shard.
+
+    In a mixed block of two chunks only names of different chunks are compared (the others meet
+    in their own block); in a Latin shard only names of which one is written in Latin letters.
+    """
+    by_stem: dict[str, dict[str, list[tuple]]] = {}
     for name in names:
-        by_stem.setdefault(name[2], []).append(name)
-    if len(by_stem) == 1 and len(names) == 1:
-        return
-    edits = names[0][0]
-    spelled = Trie(s for s in by_stem if not s.isascii())
+        by_stem.setdefault(name[2], {}).setdefault(name[5], []).append(name)
+    chunk = {name[2]: name[6] for name in names}
+    edits, mixed, latin_only = names[0][0], names[0][7], names[0][8]
+    spelled = Trie(s for s in by_stem if not s.isascii() and not latin_only)
     latin: dict[str, list[str]] = {}
-    for stem in by_stem:
-        latin.setdefault(romanised(stem), []).append(stem)
-    sounded = Trie(latin) if any(s.isascii() for s in by_stem) else None
+    sounded = None
+    if any(s.isascii() for s in by_stem):
+        for stem in by_stem:
+            latin.setdefault(romanised(stem), []).append(stem)
+        sounded = Trie(latin)
     for stem, own in by_stem.items():
         if stem.isascii():
             near = [(s, d) for word, d in sounded.within(stem, 1 if len(stem) > 6 else 0) for s in latin[word]]
@@ -270,14 +287,42 @@ def _links(names: list[tuple]) -> Iterator[tuple[int, int]]:
         for other, apart in near:
             if (len(other), other) > (len(stem), stem) and not (stem.isascii() or other.isascii()):
                 continue  # met from the other side, whose stem is as long at least and so allows as many edits
-            for one in own:
-                for two in by_stem[other]:
-                    if one[1] == two[1] or one[5] != two[5]:
-                        continue
-                    agree = same_kind(one[3:5], two[3:5])
-                    whole = min(len(stem), len(other)) >= 4
-                    if (agree == 2 and (apart <= 1 or (one[3] and two[3]))) or (agree == 1 and apart == 0 and whole):
-                        yield one[1], two[1]
+            if mixed and chunk[stem] == chunk[other]:
+                continue
+            whole = min(len(stem), len(other)) >= 4
+            for branch in own.keys() & by_stem[other].keys():
+                for one in own[branch]:
+                    for two in by_stem[other][branch]:
+                        if one[1] == two[1]:
+                            continue
+                        agree = same_kind(one[3:5], two[3:5], kinds)
+                        if (agree == 2 and (apart <= 1 or (one[3] and two[3]))) or (agree == 1 and apart == 0 and whole):
+                            yield one[1], two[1]
+
+
+def _common_around(base: DataFrame, located: Column, share: float, cell_degrees: float = 0.01) -> DataFrame:
+    """``folded, _cx, _cy``: names that stand all around a cell.
+
+    Such a name is found in ``share`` or more of the inhabited cells one to three cells away, and
+    in two at least.  One place's rows never lie so far apart, so only other places count,
+    and the share is the same measure for a village and a country.
+    """
+    stands = materialize(base.where(located).select("folded", "_cx", "_cy").distinct())
+    ring = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-3, 4) for dy in range(-3, 4) if max(abs(dx), abs(dy)) > 1])
+
+    def around(cells: DataFrame, keys: list[str], out: str) -> DataFrame:
+        moved = cells.select(*keys, "_cx", "_cy", F.explode(ring).alias("_r")).select(
+            *keys, (F.col("_cx") + F.col("_r.dx")).alias("_cx"), (F.col("_cy") + F.col("_r.dy")).alias("_cy")
+        )
+        return moved.groupBy(*keys, "_cx", "_cy").agg(F.count(F.lit(1)).alias(out))
+
+    several = stands.groupBy("folded").agg(F.count(F.lit(1)).alias("_n")).where("_n > 2").select("folded")
+    repeated = stands.join(several, "folded")
+    inhabited = around(stands.select("_cx", "_cy").distinct(), [], "_inhabited")
+    return (
+        repeated.join(around(repeated, ["folded"], "_same"), ["folded", "_cx", "_cy"]).join(inhabited, ["_cx", "_cy"])
+        .where((F.col("_same") >= 2) & (F.col("_same") >= share * F.col("_inhabited"))).select("folded", "_cx", "_cy")
+    )
 
 
 def link_names(
@@ -289,7 +334,8 @@ def link_names(
     y: str,
     building: str,
     brands: Sequence[str] = (),
-    common_places: int = 6,
+    kinds: Mapping[str, tuple[Sequence[str], Sequence[str]]] = KINDS,
+    common_share: float = 0.1,
     cell_degrees: float = 0.004,
     reach_degrees: float = 0.0014,
     hot_names: int = 1000,
@@ -298,53 +344,55 @@ def link_names(
 
     Rows meet if they share ``building`` (stems up to two edits apart) or stand
     in a common grid cell (one edit; each row belongs to all cells within
-    ``reach_degrees``, so any two rows closer than that meet).  A name that stands
-    in ``common_places`` or more cells is common: it links only rows of the same
-    normalised name at the same position.  Rows with null or NaN coordinates and no
-    building link to nothing.  Spots of more than ``hot_names`` distinct names are
-    cut into shards by pairs of letters, of which the allowed edits leave at least one,
-    so that no trie grows with a crowded spot and no match is lost.
+    ``reach_degrees``, so any two rows closer than that meet).  Where a name stands all around
+    (see ``_common_around``), its rows meet others only in their building and at their
+    exact position, under any spelling.  Rows with null or NaN coordinates and no
+    building link to nothing.  ``kinds`` lists kinds of places with their other names and English names;
+    without it names match by their letters alone.  Spots of more than ``hot_names`` distinct names are
+    cut into shards by pairs of letters, of which the allowed edits leave at least one, and
+    shards that are still larger into chunks met two by two: no trie ever holds more than twice
+    ``hot_names`` names, and no match is lost.
     """
-    brand_set = frozenset(brands)
+    brand_set, kind_table = frozenset(brands), Kinds(kinds)
     folded = F.regexp_replace(F.lower(F.col(name)), r"[\s\p{Z}\p{P}\p{S}]+", "")
     located = F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y") & (F.col("_x") != 0.0)
     base = materialize(
         rows.where(folded != "").select(
             F.col(id_column).alias("id"), F.col(name).alias("name"), folded.alias("folded"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(building).alias("_b")
-        )
+        ).withColumns({"_cx": F.floor(F.col("_x") / 0.01), "_cy": F.floor(F.col("_y") / 0.01)})
     )
-    place = F.coalesce(F.xxhash64(F.floor(F.col("_x") / 0.01), F.floor(F.col("_y") / 0.01)), F.lit(0).cast("bigint"))
-    common = base.where(located).select("folded", place.alias("_p")).distinct().groupBy("folded").agg(F.count(F.lit(1)).alias("_n")).where(
-        F.col("_n") >= common_places
-    ).select("folded", F.lit(True).alias("_common"))
-    flagged = base.join(common, "folded", "left")
+    common = materialize(_common_around(base, located, common_share))
+    marked = base.join(common.withColumn("_common", F.lit(True)), ["folded", "_cx", "_cy"], "left")
+    points = marked.where("_common").select("_x", "_y").distinct().withColumn("_point", F.lit(True))
+    flagged = marked.join(points, ["_x", "_y"], "left")
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = [
                 (n, p.stem, p.kind, p.rest, p.branch, romanised(p.stem))
                 for n in frame["name"]
-                for p in dict.fromkeys(parse_name(n, brand_set))
+                for p in dict.fromkeys(parse_name(n, brand_set, kind_table))
                 if p.stem
             ]
             yield pd.DataFrame(out, columns=["name", "stem", "kind", "rest", "branch", "roman"])
 
     spelled = materialize(
-        flagged.where("_common is null").select("name").distinct().mapInPandas(parse, "name string, stem string, kind string, rest string, branch string, roman string")
+        base.select("name").distinct().mapInPandas(parse, "name string, stem string, kind string, rest string, branch string, roman string")
     )
     # --- where a row stands: its building and every cell within reach ----------------------
     cells = [
-        F.when(located, F.xxhash64(F.lit("c"), F.floor((F.col("_x") + dx) / cell_degrees), F.floor((F.col("_y") + dy) / cell_degrees)))
+        F.when(located & F.col("_common").isNull(), F.xxhash64(F.lit("c"), F.floor((F.col("_x") + dx) / cell_degrees), F.floor((F.col("_y") + dy) / cell_degrees)))
         for dx in (-reach_degrees / 2, reach_degrees / 2)
         for dy in (-reach_degrees / 2, reach_degrees / 2)
     ]
+    cells.append(F.when(F.col("_point"), F.xxhash64(F.lit("p"), "_x", "_y")))
     spots = F.array_union(
         F.transform(F.array_distinct(F.array_compact(F.array(*cells))), lambda c: F.struct(c.alias("_spot"), F.lit(1).alias("_edits"))),
         F.when(F.col("_b").isNotNull(), F.array(F.struct(F.xxhash64(F.lit("b"), "_b").alias("_spot"), F.lit(2).alias("_edits")))).otherwise(
             F.array().cast("array<struct<_spot:bigint,_edits:int>>")
         ),
     )
-    placed = flagged.where("_common is null").select("id", "name", F.explode(spots).alias("_s")).select("id", "name", "_s.*")
+    placed = flagged.select("id", "name", F.explode(spots).alias("_s")).select("id", "name", "_s.*")
     # equal names of one spot first become one: copies never reach a trie
     merged = materialize(placed.groupBy("_spot", "_edits", "name").agg(F.min("id").alias("_low")))
     readings = merged.join(spelled, "name")
@@ -366,15 +414,28 @@ def link_names(
         parts,
         F.array(F.concat(F.lit("<"), F.substring("roman", 1, 3)), F.concat(F.lit(">"), F.expr("right(roman, 3)"))),
     )
-    shards = sized.withColumn("_part", F.explode(F.when(F.col("_names") <= hot_names, F.array(F.lit(""))).otherwise(parts))).withColumn(
-        "_shard", F.xxhash64("_spot", "_part")
+    plain = sized.where(F.col("_names") <= hot_names).select(
+        F.xxhash64("_spot").alias("_shard"), *_SHARD_COLUMNS[1:7], F.lit(0).alias("_chunk"), F.lit(False).alias("_mixed"), F.lit(False).alias("_latin")
+    )
+    cut = sized.where(F.col("_names") > hot_names).withColumn("_part", F.explode(parts))
+    # a pair of letters may still be common to too many: chunks by hash, every two of which make a block
+    sizes = cut.groupBy("_spot", "_part").agg(F.ceil(F.count(F.lit(1)) / hot_names).cast("int").alias("_chunks")).where("_chunks > 1")
+    blocks = (
+        cut.join(sizes, ["_spot", "_part"], "left").withColumn("_chunks", F.coalesce("_chunks", F.lit(1)))
+        .withColumn("_chunk", F.pmod(F.xxhash64("stem"), F.col("_chunks")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+        .select(
+            F.xxhash64("_spot", "_part", F.least("_chunk", "_other"), F.greatest("_chunk", "_other")).alias("_shard"), *_SHARD_COLUMNS[1:7], "_chunk",
+            (F.col("_chunk") != F.col("_other")).alias("_mixed"), F.rlike("_part", F.lit("^[<>]")).alias("_latin"),
+        )
+    )
+    # the number is stated, or few bytes would be taken for little work
+    matched = plain.unionByName(blocks).repartition(shuffle_partitions(base.sparkSession), "_shard").sortWithinPartitions("_shard").mapInPandas(
+        lambda frames: _link_shards(frames, kind_table), _SHARD_SCHEMA
     )
-    matched = shards.repartition("_shard").sortWithinPartitions("_shard").mapInPandas(_link_shards, _SHARD_SCHEMA)
     # --- rows of equal names and equal readings to their representative --------------------
     same_name = placed.join(merged, ["_spot", "_edits", "name"]).where("id <> _low").select(F.col("id").alias("a"), F.col("_low").alias("b"))
     same_reading = readings.join(distinct, reading_key).where("_low <> _rep").select(F.col("_low").alias("a"), F.col("_rep").alias("b"))
-    at_point = flagged.where(F.col("_common") & located).groupBy("folded", "_x", "_y").agg(F.min("id").alias("_low"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    same_point = flagged.where("_common").join(at_point, ["folded", "_x", "_y"]).where("id <> _low").select(F.col("id").alias("a"), F.col("_low").alias("b"))
-    edges = matched.unionByName(same_name).unionByName(same_reading).unionByName(same_point)
+    edges = matched.unionByName(same_name).unionByName(same_reading)
     labels = connected_components(edges)
     return labels.select(F.col("node").alias("id"), F.col("component").alias("entity"))

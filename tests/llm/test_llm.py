@@ -11,7 +11,7 @@ from strataquay.llm.addresses import AddressFields, building_pairs, buildings, p
 from strataquay.llm.formatting import collapse_copies
 from strataquay.llm.hangul import edit_distance, looks_romanised, retyped, romanised
 from strataquay.llm.mixing import mix_sources
-from strataquay.llm.names import Parsed, _links, link_names, parse_name
+from strataquay.llm.names import KINDS, Parsed, _links, link_names, parse_name
 from strataquay.llm.packing import pack_in_order, pack_items
 from strataquay.llm.splitting import boundary_table, split_texts
 from strataquay.llm.tokens import VOCABULARY, count, token_count
@@ -103,7 +103,7 @@ def entities(spark, rows, **more):
 
 def test_stems_meet_within_the_longer_ones_budget():
     for short, long in (("하나무", "가다나무"), ("가나무", "하다나무"), ("나무", "가나무"), ("나무", "하나무"), ("하무", "가하무")):
-        held = [(2, i, stem, "약국", "", "") for i, stem in enumerate((short, long))]
+        held = [(2, i, stem, "약국", "", "", 0, False, False) for i, stem in enumerate((short, long))]
         assert len(list(_links(held))) == 1, (short, long)
 
 
@@ -124,6 +124,67 @@ def test_near_rows_without_building_and_common_names(spark):
     assert entities(spark, rows) == [[1, 2], [10, 30]]
 
 
+def test_common_names_keep_their_variants(spark):
+    # one name in every cell of a village, its variants only in one building and at one position
+    rows = [(i, "공중화장실", 127.0 + (i % 5) * 0.01, 37.0 + (i // 5) * 0.01, 1000 + i, "", 0) for i in range(25)]
+    rows += [(100, "공중 화장실", 127.0, 37.0, None, "", 0), (101, "공즁화장실", 127.02, 37.02, None, "", 0), (102, "공중화장싷", None, None, 1003, "", 0), (103, "공중화장실", 127.0003, 37.0, None, "", 0)]
+    # a name of one place with rows in several cells is not common
+    rows += [(200 + i, n, 127.0299 + 0.0002 * (i % 2), 37.0299 + 0.0002 * (i // 2), None, "", 0) for i, n in enumerate(("소다누사약국", "소다 누사약국", "서다누사약국", "소다누사 약국"))]
+    assert entities(spark, rows) == [[0, 100], [3, 102], [12, 101], [200, 201, 202, 203]]
+
+
+def brute_entities(rows, kinds):
+    """Names of one building compared pair by pair, then joined."""
+    parent = {r[0]: r[0] for r in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    read = {r[0]: parse_name(r[1], BRANDS) for r in rows}
+    for n, a in enumerate(rows):
+        for b in rows[n + 1 :]:
+            if a[4] != b[4]:
+                continue
+            for one in read[a[0]]:
+                for two in read[b[0]]:
+                    longer, shorter = max(len(one.stem), len(two.stem)), min(len(one.stem), len(two.stem))
+                    most = 2 if longer >= 4 else 1 if longer == 3 else 0
+                    apart = edit_distance(one.stem, two.stem, most)
+                    if apart > most or one.branch != two.branch:
+                        continue
+                    same = one.kind == two.kind and (one.kind or one.rest == two.rest)
+                    if same and (one.kind or apart <= 1) and shorter:
+                        parent[root(a[0])] = root(b[0])
+    found = {}
+    for i in parent:
+        found.setdefault(root(i), set()).add(i)
+    return sorted(sorted(v) for v in found.values() if len(v) > 1)
+
+
+@pytest.mark.parametrize("hot", [1000, 40, 5])
+def test_names_agree_with_brute_force(spark, hot):
+    """One crowded building: no link is lost by letter shards or by chunks of crowded shards."""
+    random.seed(21)
+    letters_of = "가나다라마바사아"
+    rows = []
+    for i in range(160):
+        stem = [random.choice(letters_of) for _ in range(random.choice([3, 4, 5, 6]))]
+        for turn in range(random.choice([1, 2])):
+            if turn:
+                at = random.randrange(len(stem))
+                stem = random.choice([stem[:at] + stem[at + 1 :], stem[:at] + ["하"] + stem[at:], stem[:at] + ["호"] + stem[at + 1 :]])
+            rows.append((len(rows), "".join(stem) + "약국", None, None, 7, "", 0))
+    assert entities(spark, rows, hot_names=hot) == brute_entities(rows, KINDS)
+
+
+def test_kinds_are_a_parameter(spark):
+    rows = [(1, "소다누사등대", 127.0, 37.0, 7, "", 0), (2, "등대 소다누사", 127.0, 37.0, 7, "", 0), (3, "Sodanusa Lighthouse", 127.0, 37.0, 7, "", 0)]
+    assert entities(spark, rows, kinds={"등대": ((), ("lighthouse",))}) == [[1, 2, 3]]
+    assert entities(spark, rows[:2] + [(4, "소다누사등데", 127.0, 37.0, 7, "", 0)], kinds={}) == [[1, 4]]
+
+
 def test_names_empty(spark):
     assert entities(spark, []) == []
 
