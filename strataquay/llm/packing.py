@@ -4,7 +4,8 @@ Bounded-space online packing: every partition takes its items in a fixed random
 order and keeps a fixed number of open windows; an item goes into the window it
 fills best, and when none has room the fullest window is closed.  The windows
 still open at the end are emptied and their items packed again by ever fewer
-partitions, so leftovers of all partitions finally meet.
+partitions, so leftovers of all partitions finally meet; only these last ones, the
+items of a bounded number of windows, are laid largest first with all windows open.
 """
 
 from __future__ import annotations
@@ -56,8 +57,8 @@ def pack_items(
 
     An item is never split unless it is larger than ``capacity``; then its parts
     0, 1, ... fill whole containers but the last, which is packed like any item.
-    Null or negative sizes count as zero, and items of size zero go into some
-    container too.  Ids should be unique; equal ids are told apart by nothing but
+    Null or negative sizes count as zero.  Items of size zero need no room and join a full container of
+    their partition (or, if it has none, its fullest one, which is closed), so that they never gather.  Ids should be unique; equal ids are told apart by nothing but
     their own rows.  Empty input gives no containers.  The result does not depend
     on how Spark divides the work.
     """
@@ -78,21 +79,35 @@ def pack_items(
 
     def packer(last: bool):
         def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            if last:  # all leftovers are at hand: largest first
+            empty = frame[frame["size"] == 0]
+            frame = frame[frame["size"] > 0]
+            if last:  # a bounded number of windows' items: largest first
                 frame = frame.sort_values(["size", "_order", "id", "part"], ascending=[False, True, True, True])
             else:
                 frame = frame.sort_values(["_order", "id", "part"])
-            windows, closed = pack_in_order(frame["size"].tolist(), capacity, None if last else open_windows)
+            sizes = frame["size"].tolist()
+            windows, closed = pack_in_order(sizes, capacity, None if last else open_windows)
+            closed = [closed_now or last for closed_now in closed]
+            if len(empty):
+                if not closed:
+                    closed.append(True)
+                if True not in closed:
+                    filled = [0] * len(closed)
+                    for size, window in zip(sizes, windows, strict=True):
+                        filled[window] += size
+                    closed[filled.index(max(filled))] = True
+                windows = windows + [closed.index(True)] * len(empty)
+                frame = pd.concat([frame, empty])
             out = frame[["id", "part", "size", "_order"]].copy()
             out["_group"], out["_window"] = key[0], windows
-            out["_closed"] = True if last else [closed[w] for w in windows]
+            out["_closed"] = [closed[w] for w in windows]
             return out
 
         return pack
 
     level, todo, done = 0, parts.withColumn("_group", F.pmod("_order", F.lit(partitions))), None
     while True:
-        last = partitions == 1
+        last = partitions == 1 and level > 0
         packed = materialize(todo.groupBy("_group").applyInPandas(packer(last), schema))
         named = packed.where("_closed").select("id", "part", "size", F.concat_ws("-", F.lit(level), "_group", "_window").alias("container"))
         done = named if done is None else done.unionByName(named)
