@@ -2,16 +2,21 @@
 
 Poisson replication: each record's number of copies is the inverse of a Poisson
 distribution, cut off at the source's cap, at a uniform number hashed from the
-record's id and a seed.  The distribution's parameter starts at the mean target
-repetition rate and is calibrated against the drawn sizes, which only grow with
-it, so that the shares come out as asked although sizes vary widely.
+record's id and a seed.  The distribution's parameter is calibrated on the sizes
+really drawn, which only grow with it, so that the shares come out as asked although
+sizes vary widely: one histogram of sizes over the uniform numbers brackets every
+source's parameter, and only the few records whose copies are still open are
+looked at once more.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, shuffle_partitions
@@ -25,21 +30,37 @@ class Mixture:
     shares: DataFrame
 
 
-def _copies(rate: Column, cap: Column, uniform: Column, most: int) -> Column:
-    """Copies at ``uniform`` of the Poisson distribution with parameter ``rate`` given at most ``cap``."""
-    weights, total = [], None
-    weight = F.lit(1.0)
-    for k in range(most + 1):
-        if k:
-            weight = weight * rate / k
-        kept = F.when(F.lit(k) <= cap, weight).otherwise(0.0)
-        total = kept if total is None else total + kept
-        weights.append(total)
-    steps = [F.when(uniform * total > upto, 1).otherwise(0) for upto in weights[:-1]]
-    out = F.lit(0)
-    for step in steps:
-        out = out + step
-    return F.least(out, cap.cast("int")).cast("int")
+def copy_steps(rate: float, cap: int) -> list[float]:
+    """Where the number of copies rises: a record at ``u`` has as many copies as there are steps below ``u``.
+
+    The steps are the Poisson distribution with parameter ``rate`` given at most ``cap``, up to
+    ``cap - 1``.  Weights are kept as logarithms, so neither large rates nor large caps overflow.
+    """
+    if cap <= 0:
+        return []
+    if rate <= 0:
+        return [1.0] * cap
+    if math.isinf(rate):
+        return [0.0] * cap
+    logs = [k * math.log(rate) - math.lgamma(k + 1) for k in range(cap + 1)]
+    top = max(logs)
+    upto = list(accumulate(math.exp(w - top) for w in logs))
+    return [min(1.0, w / upto[-1]) for w in upto[:-1]]
+
+
+def _bracket(goal: float, cap: int, tails: list[int], bins: int) -> tuple[float, float]:
+    """Rates that surely draw at most, and surely at least, ``goal``; ``tails[b]`` is the size from bin ``b`` on."""
+    sure = lambda rate: sum(tails[min(bins, math.floor(t * bins) + 1)] for t in copy_steps(rate, cap))
+    possible = lambda rate: sum(tails[min(bins, math.floor(t * bins))] for t in copy_steps(rate, cap))
+
+    def turn(rises) -> tuple[float, float]:
+        low, high = -40.0, 60.0 + math.log1p(cap)  # logarithms of rates without any and with full replication
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (low, middle) if rises(math.exp(middle)) else (middle, high)
+        return low, high
+
+    return math.exp(turn(lambda r: possible(r) > goal)[0]), math.exp(turn(lambda r: sure(r) >= goal)[1])
 
 
 def mix_sources(
@@ -53,8 +74,9 @@ def mix_sources(
     cap: str,
     total_size: int | None = None,
     seed: int = 42,
-    rounds: int = 4,
-    grid: int = 16,
+    bins: int = 1024,
+    grid: int = 64,
+    rounds: int = 2,
 ) -> Mixture:
     """Draw copies so that each source has its share of the total size.
 
@@ -72,46 +94,75 @@ def mix_sources(
     ).where("source is not null")
     own = records.select(F.col(id_column).alias("id"), F.col(source).alias("source"), F.col(size).cast("bigint").alias("size")).where("size > 0")
     own = materialize(
-        own.join(wanted, "source")
+        own.join(wanted.select("source"), "source", "left_semi")
         .withColumn("uniform", (F.pmod(F.xxhash64(F.lit(seed), F.col("id").cast("string")), F.lit(1 << 40)) + 0.5) / float(1 << 40))
     )
-    stock = own.groupBy("source").agg(F.sum("size").alias("available"), F.count(F.lit(1)).alias("records"))
-    plan = {r["source"]: r.asDict() for r in wanted.join(stock, "source", "left").collect()}
-    bounds = [r["cap"] * r["available"] / r["target_share"] for r in plan.values() if r["available"] and r["target_share"] > 0]
     spark = records.sparkSession
+    # --- one histogram a source: at most ``bins`` rows each come to the driver -------------
+    plan = {r["source"]: r for r in wanted.collect()}
+    held: dict[str, list[int]] = {}
+    number: dict[str, int] = {}
+    for r in own.groupBy("source", F.floor(F.col("uniform") * bins).cast("int").alias("bin")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect():
+        held.setdefault(r["source"], [0] * (bins + 1))[r["bin"]] = r["size"]
+        number[r["source"]] = number.get(r["source"], 0) + r["n"]
+    tails = {s: list(accumulate(reversed(h)))[::-1] for s, h in held.items()}
+    available = {s: t[0] for s, t in tails.items()}
+    bounds = [max(0, plan[s]["cap"] or 0) * n / plan[s]["target_share"] for s, n in available.items() if (plan[s]["target_share"] or 0) > 0]
     total = float(min(bounds, default=0.0) if total_size is None else total_size)
-    most = max((r["cap"] or 0 for r in plan.values()), default=0)
-    # --- calibrate each source's parameter on the sizes it really draws --------------------
-    span = {s: (0.0, 1e9 if r["cap"] else 0.0) for s, r in plan.items() if r["available"]}
-    middle = {s: total * r["target_share"] / r["available"] for s, r in plan.items() if r["available"]}
-    nearest: dict[str, tuple[float, float]] = {}  # smallest miss so far and its parameter
-    for turn in range(rounds if span else 0):
-        tried: dict[str, list[float]] = {}
+    # --- bracket each source's rate; where it can't reach its goal it is filled to the cap -
+    chosen: dict[str, float] = {}
+    span: dict[str, tuple[float, float]] = {}
+    caps = {s: max(0, plan[s]["cap"] or 0) for s in available}
+    goals = {s: total * (plan[s]["target_share"] or 0.0) for s in available}
+    for s, n in available.items():
+        if goals[s] <= 0 or not caps[s]:
+            chosen[s] = 0.0
+        elif goals[s] >= caps[s] * n:
+            chosen[s] = math.inf
+        else:
+            span[s] = _bracket(goals[s], caps[s], tails[s], bins)
+    opened = {
+        s: sorted(
+            {
+                b
+                for t, u in zip(copy_steps(high, caps[s]), copy_steps(low, caps[s]), strict=True)
+                for b in range(math.floor(t * bins), min(bins - 1, math.floor(u * bins)) + 1)
+            }
+        )
+        for s, (low, high) in span.items()
+    }
+    count_at = lambda steps: F.size(F.filter(steps, lambda t: t < F.col("uniform")))
+    nearest: dict[str, tuple[float, float]] = {}  # smallest miss so far and its rate
+    for _ in range(rounds if span else 0):
+        tried = {}
         for s, (low, high) in span.items():
-            if turn == 0:  # around the target repetition rate, and far above it for sources at their cap
-                base = max(middle[s], 1e-9)
-                tried[s] = [base * 1.5 ** (k - grid // 3) for k in range(grid - 4)] + [base * f for f in (3e3, 1e5, 1e7, 1e9)]
-            else:
-                tried[s] = [low + (high - low) * (k + 1) / (grid + 1) for k in range(grid)]
-        rates = spark.createDataFrame([(s, k, r) for s, some in tried.items() for k, r in enumerate(some)], "source string, k int, rate double")
-        # the list holds grid rows a target
-        scored = own.join(F.broadcast(rates), "source")
-        drawn = scored.groupBy("source", "k").agg(F.sum(_copies(F.col("rate"), F.col("cap"), F.col("uniform"), most) * F.col("size")).alias("drawn"))
-        by_rate: dict[str, dict[int, int]] = {}
-        for row in drawn.collect():
-            by_rate.setdefault(row["source"], {})[row["k"]] = row["drawn"]
-        for source_name, got in by_rate.items():
-            s, goal = source_name, total * plan[source_name]["target_share"]
+            half = grid // 2
+            tried[s] = sorted({low + (high - low) * k / (half - 1) for k in range(half)} | {low * (high / low) ** (k / (half - 1)) for k in range(half)})
+        # up to grid rows a target, each with as many steps as its cap
+        ladders = spark.createDataFrame(
+            [(s, [copy_steps(r, caps[s]) for r in rates], opened[s]) for s, rates in tried.items()], "source string, ladders array<array<double>>, opened array<int>"
+        )
+        loose = own.join(F.broadcast(ladders), "source").where(F.array_contains("opened", F.floor(F.col("uniform") * bins).cast("int")))
+        scored = loose.select("source", "size", "uniform", F.posexplode("ladders").alias("k", "steps"))
+        drawn_at: dict[str, dict[int, int]] = {}
+        for r in scored.groupBy("source", "k").agg(F.sum(count_at(F.col("steps")) * F.col("size")).alias("drawn")).collect():
+            drawn_at.setdefault(r["source"], {})[r["k"]] = r["drawn"]
+        for s, rates in tried.items():
+            shut = set(opened[s])
+            # in the other bins no step falls at any of these rates: all records of a bin have the same copies
+            steps = copy_steps(rates[0], caps[s])
+            sure = sum(n * bisect_left(steps, (b + 0.5) / bins) for b, n in enumerate(held[s][:bins]) if n and b not in shut)
             low, high = span[s]
-            for k, rate in enumerate(tried[s]):
-                nearest[s] = min(nearest.get(s, (float("inf"), 0.0)), (abs(got[k] - goal), rate))
-                if got[k] <= goal:
-                    low = max(low, rate)
-                else:
-                    high = min(high, rate)
+            for k, rate in enumerate(rates):
+                got = sure + drawn_at.get(s, {}).get(k, 0)
+                nearest[s] = min(nearest.get(s, (math.inf, 0.0)), (abs(got - goals[s]), rate))
+                low, high = (max(low, rate), high) if got <= goals[s] else (low, min(high, rate))
             span[s] = (low, max(low, high))
-    chosen = spark.createDataFrame([(s, rate) for s, (_, rate) in nearest.items()], "source string, rate double")
-    counted = own.join(F.broadcast(chosen), "source").withColumn("copies", _copies(F.col("rate"), F.col("cap"), F.col("uniform"), most))
+    chosen |= {s: rate for s, (_, rate) in nearest.items()}
+    rows = [(s, caps[s], copy_steps(rate, caps[s])) for s, rate in chosen.items()]
+    # the list holds one row a target
+    steps = F.broadcast(spark.createDataFrame(rows, "source string, cap int, steps array<double>"))
+    counted = own.join(steps, "source").withColumn("copies", F.least(count_at(F.col("steps")), F.col("cap")))
     drawn = counted.where("copies > 0").select("id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     shuffled = (
         drawn.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), F.col("id").cast("string"), "copy"))
@@ -121,6 +172,7 @@ def mix_sources(
     by_source = counted.groupBy("source").agg(
         F.sum(F.col("copies") * F.col("size")).alias("drawn_size"), F.sum("copies").alias("drawn_records"), F.max("copies").alias("most_copies")
     )
+    stock = spark.createDataFrame([(s, n) for s, n in available.items()], "source string, available bigint")
     shares = (
         wanted.join(stock, "source", "left").join(by_source, "source", "left")
         .withColumn("_all", F.sum("drawn_size").over(Window.partitionBy()))  # one row a target
