@@ -307,7 +307,7 @@ def _common_around(base: DataFrame, located: Column, share: float, cell_degrees:
     in two at least.  One place's rows never lie so far apart, so only other places count,
     and the share is the same measure for a village and a country.
     """
-    stands = materialize(base.where(located).select("folded", "_cx", "_cy").distinct())
+    stands = base.where(located).select("folded", "_cx", "_cy").distinct()
     ring = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-3, 4) for dy in range(-3, 4) if max(abs(dx), abs(dy)) > 1])
 
     def around(cells: DataFrame, keys: list[str], out: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators of the llm subpackage against brute force and round trips."""
 
+import math
 import random
 import re
 import unicodedata
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from strataquay.llm.addresses import AddressFields, building_pairs, buildings, parse_addresses
 from strataquay.llm.formatting import collapse_copies
 from strataquay.llm.hangul import edit_distance, looks_romanised, retyped, romanised
-from strataquay.llm.mixing import mix_sources
+from strataquay.llm.mixing import copy_steps, mix_sources
 from strataquay.llm.names import KINDS, Parsed, _links, link_names, parse_name
 from strataquay.llm.packing import pack_in_order, pack_items
 from strataquay.llm.splitting import boundary_table, split_texts
@@ -282,6 +283,29 @@ def test_pack_items(spark, per_partition):
     assert len(fills) <= 1.1 * sum(sizes.values()) / 100 + 2
 
 
+def test_pack_many_empty_items(spark):
+    """Empty items stay where they are first laid and don't gather in the last task."""
+    rows = [(i, 0) for i in range(3000)] + [(5000 + i, 7) for i in range(40)]
+    for some in (rows, rows[:3000]):
+        frame = spark.createDataFrame(some, "id bigint, size bigint")
+        got = pack_items(frame, id_column="id", size="size", capacity=10, open_windows=3, items_per_partition=500, fan_in=2).collect()
+        assert sorted(r.id for r in got) == sorted(i for i, _ in some)
+        assert {r.container.split("-")[0] for r in got if r.size == 0} == {"0"}
+        assert all(r.fill in (0, 7) for r in got) and (len(some) == 3000 or all(r.fill == 7 for r in got))
+
+
+@pytest.mark.parametrize("per_partition", [1, 10, 10_000])
+def test_one_method_at_every_size(spark, per_partition):
+    """Most containers are closed while packing, whether there is one partition or many, and all are about as full."""
+    random.seed(31)
+    rows = [(i, random.randrange(1, 60)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id bigint, size bigint")
+    got = pack_items(frame, id_column="id", size="size", capacity=100, open_windows=4, containers_per_partition=per_partition, fan_in=8).collect()
+    names = {r.container for r in got}
+    assert len([n for n in names if n.startswith("0-")]) > (0.4 if per_partition > 1 else -1) * len(names)
+    assert sum(s for _, s in rows) / (100 * len(names)) > 0.95
+
+
 def test_pack_nothing(spark):
     assert pack_items(spark.createDataFrame([], "id bigint, size bigint"), id_column="id", size="size", capacity=5).count() == 0
 
@@ -313,6 +337,31 @@ def test_mixture(spark):
     assert all(r.actual_share == pytest.approx(r.target_share, abs=0.01) for r in half if r.target_share)
 
 
+def test_copy_steps():
+    for rate in (1e-6, 0.3, 2.0, 40.0):
+        for cap in (1, 2, 5):
+            weights = [rate**k / math.factorial(k) for k in range(cap + 1)]
+            want = [sum(weights[: k + 1]) / sum(weights) for k in range(cap)]
+            assert copy_steps(rate, cap) == pytest.approx(want, rel=1e-12)
+    for rate in (1e-300, 1e300, math.inf, 0.0, 1e9):
+        steps = copy_steps(rate, 500)
+        assert len(steps) == 500 and steps == sorted(steps) and 0 <= steps[0] and steps[-1] <= 1 and not any(map(math.isnan, steps))
+    assert copy_steps(3.0, 0) == []
+
+
+@pytest.mark.parametrize(("cap", "rate"), [(1.0, 0.0004), (300.0, 80.0), (40.0, 39.9)])
+def test_mixture_with_rare_and_often_repeated_sources(spark, cap, rate):
+    """Drawn sizes come as near the goal as single records allow, from a thousandth up to the cap."""
+    random.seed(33)
+    rows = [(i, "a", random.randrange(1, 20), 1, 0.5) for i in range(6000)]
+    whole = sum(r[2] for r in rows)
+    records = spark.createDataFrame(rows, "id bigint, source string, size bigint, copies int, uniform double")
+    targets = spark.createDataFrame([("a", 1.0, cap)], "source string, share double, cap double")
+    goal = int(whole * rate)
+    got = mix_sources(records, targets, id_column="id", source="source", size="size", share="share", cap="cap", total_size=goal).shares.first()
+    assert abs(got.drawn_size - goal) <= max(20, goal * 1e-4) and got.most_copies <= cap
+
+
 def test_mixture_of_nothing(spark):
     got = mix(spark, [])
     assert got.drawn.count() == 0 and {r.actual_share for r in got.shares.collect()} == {0.0}
