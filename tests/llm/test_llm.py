@@ -14,7 +14,7 @@ from strataquay.llm.hangul import edit_distance, looks_romanised, retyped, roman
 from strataquay.llm.mixing import copy_steps, mix_sources
 from strataquay.llm.names import KINDS, Parsed, _links, link_names, parse_name
 from strataquay.llm.packing import pack_in_order, pack_items
-from strataquay.llm.splitting import boundary_table, split_texts
+from strataquay.llm.splitting import boundary_table, split_files, split_texts
 from strataquay.llm.tokens import VOCABULARY, count, token_count
 from strataquay.llm.trie import Trie
 from strataquay.session import materialize
@@ -375,29 +375,66 @@ TEXTS = {
 }
 
 
-@pytest.mark.parametrize(("chars", "halo"), [(16_384, 512), (700, 60)])
-def test_split_texts(spark, chars, halo):
-    documents = spark.createDataFrame([(i, t, "clash", 1) for i, t in TEXTS.items()], "id bigint, text string, piece string, start int")
-    limits = [("fine", 60, 12), ("coarse", 300, 0), ("odd", 40, 100)]
-    frame = spark.createDataFrame(limits, "name string, most int, overlap int")
-    got = split_texts(documents, frame, id_column="id", text="text", name="name", max_tokens="most", overlap_tokens="overlap", range_chars=chars, halo_chars=halo).collect()
+LIMITS = [("fine", 60, 12), ("coarse", 300, 0), ("odd", 40, 100)]
+
+
+def check_pieces(got, whole_of, size_of):
+    """Pieces cover every text, keep the limit, and meet or overlap; ``whole_of(id)[a:b]`` is the text between offsets."""
     by = {}
     for r in got:
         by.setdefault((r.limit_name, r.id), []).append(r)
-    assert set(by) == {(n, i) for n, most, _ in limits for i, t in TEXTS.items() if count(t, VOCABULARY) > most}
     for (name, i), pieces in by.items():
-        most, overlap = next((m, o) for n, m, o in limits if n == name)
+        most, overlap = next((m, o) for n, m, o in LIMITS if n == name)
         pieces.sort(key=lambda r: (r.start, r.end))
-        assert pieces[0].start == 0 and pieces[-1].end == len(TEXTS[i])
+        assert pieces[0].start == 0 and pieces[-1].end == size_of(i)
+        numbers = sorted({r.cut_no for r in pieces})
+        assert numbers == list(range(len(numbers))) and [r.cut_no for r in pieces] == sorted(r.cut_no for r in pieces)
         for r, after in zip(pieces, [*pieces[1:], None]):
-            assert r.piece == TEXTS[i][r.start : r.end] and r.tokens == count(r.piece, VOCABULARY) <= most
+            assert r.piece == whole_of(i, r.start, r.end) and r.tokens == count(r.piece, VOCABULARY) <= most
             assert after is None or r.start < after.start <= r.end
             if after is not None and not overlap:
                 assert after.start == r.end
+    return by
+
+
+@pytest.mark.parametrize(("chars", "halo", "segment"), [(16_384, 512, 256), (700, 60, 256), (700, 60, 3), (400, 40, 1)])
+def test_split_texts(spark, chars, halo, segment):
+    documents = spark.createDataFrame([(i, t, "clash", 1) for i, t in TEXTS.items()], "id bigint, text string, piece string, start int")
+    frame = spark.createDataFrame(LIMITS, "name string, most int, overlap int")
+    call = lambda **more: split_texts(documents, frame, id_column="id", text="text", name="name", max_tokens="most", overlap_tokens="overlap", range_chars=chars, halo_chars=halo, segment_ranges=segment, **more).collect()
+    got = call()
+    by = check_pieces(got, lambda i, a, b: TEXTS[i][a:b], lambda i: len(TEXTS[i]))
+    assert set(by) == {(n, i) for n, most, _ in LIMITS for i, t in TEXTS.items() if count(t, VOCABULARY) > most}
     natural = [r for r in by["fine", 1] if re.search(r"[.!\n]\s*$", r.piece)]
     assert len(natural) == len(by["fine", 1])
     shared = [count(TEXTS[1][b.start : a.end], VOCABULARY) for a, b in zip(by["fine", 1], by["fine", 1][1:])]
     assert all(6 <= s <= 18 for s in shared)
+    if segment == 256:  # short texts give the same pieces by ranges
+        assert sorted(call(in_place_chars=0)) == sorted(got)
+
+
+@pytest.mark.parametrize(("size", "segment"), [(1 << 20, 64), (900, 4)])
+def test_split_files(spark, tmp_path, size, segment):
+    contents = {f"{i}.txt": (t or "").encode() for i, t in TEXTS.items()} | {"broken.txt": ("가나 다라. ".encode() * 300)[1:-2] + b"\xff\xfe ok. " * 90}
+    (tmp_path / "inner").mkdir()
+    for n, (name, raw) in enumerate(contents.items()):
+        (tmp_path / ("inner" if n % 2 else ".") / name).write_bytes(raw)
+    frame = spark.createDataFrame(LIMITS, "name string, most int, overlap int")
+    call = lambda *paths: split_files(spark, paths, frame, name="name", max_tokens="most", overlap_tokens="overlap", range_bytes=size, halo_bytes=80, segment_ranges=segment).collect()
+    got = call(str(tmp_path))
+
+    def text_of(i, a, b):
+        piece = contents[i.rsplit("/", 1)[-1]][a:b].decode("utf-8", "surrogateescape")
+        return re.sub("[\udc80-\udcff]", "\ufffd", piece)
+
+    by = check_pieces(got, text_of, lambda i: len(contents[i.rsplit("/", 1)[-1]]))
+    whole = {n: re.sub("[\udc80-\udcff]", "\ufffd", raw.decode("utf-8", "surrogateescape")) for n, raw in contents.items()}
+    assert {(n, i.rsplit("/", 1)[-1]) for n, i in by} == {(n, i) for n, most, _ in LIMITS for i, t in whole.items() if count(t, VOCABULARY) > most}
+    assert call(str(tmp_path / "4.txt")) == [] and call(str(tmp_path / "nothing*")) == []
+    if size > 100_000:  # one range: the same pieces as of a table's row
+        rows = spark.createDataFrame([(1, TEXTS[1])], "id bigint, text string")
+        of_row = split_texts(rows, frame, id_column="id", text="text", name="name", max_tokens="most", overlap_tokens="overlap").collect()
+        assert sorted((r.limit_name, r.cut_no, r.piece) for r in of_row) == sorted((r.limit_name, r.cut_no, r.piece) for r in got if r.id.endswith("/1.txt"))
 
 
 def test_split_nothing(spark):
