@@ -38,6 +38,34 @@ def region_edges(regions: DataFrame, *, name: str, rings: str) -> DataFrame:
     return steps.select("region", at(0, 1).alias("ax"), at(0, 2).alias("ay"), at(1, 1).alias("bx"), at(1, 2).alias("by"))
 
 
+def near_edges(points: DataFrame, edges: DataFrame, *, id_column: str, x: str, y: str, metres: float, max_latitude: float = 60.0) -> DataFrame:
+    """``id`` of the points at most ``metres`` from some edge of ``edges`` (``ax, ay, bx, by``), each once.
+
+    Points and edges meet in grid cells ten times as wide as the distance; an edge belongs to the cells along it,
+    step by step, so long edges don't fill their whole extent.  Points with null or NaN coordinates are near nothing.
+    """
+    pad_y = metres / METRES_PER_DEGREE * 1.000001
+    pad_x = pad_y / math.cos(math.radians(max_latitude)) * 1.000001
+    wide, high = 10 * pad_x, 10 * pad_y
+    steps = F.ceil(F.greatest(F.abs(F.col("bx") - F.col("ax")) / wide, F.abs(F.col("by") - F.col("ay")) / high, F.lit(1.0))).cast("int")
+    along = edges.withColumn("_n", steps).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    at = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / F.col("_n")
+    first, last = F.col("_k"), F.col("_k") + 1
+
+    def cells(a: str, b: str, pad: float, size: float) -> Column:
+        ends = at(a, b, first), at(a, b, last)
+        return F.sequence(F.floor((F.least(*ends) - pad) / size), F.floor((F.greatest(*ends) + pad) / size))
+
+    placed = (
+        along.withColumn("_cx", F.explode(cells("ax", "bx", pad_x, wide))).withColumn("_cy", F.explode(cells("ay", "by", pad_y, high)))
+        .select("ax", "ay", "bx", "by", "_cx", "_cy").distinct()
+    )
+    spots = points.select(F.col(id_column).alias("id"), F.col(x).alias("_x"), F.col(y).alias("_y")).where("not isnan(_x) and not isnan(_y)")
+    met = spots.withColumns({"_cx": F.floor(F.col("_x") / wide), "_cy": F.floor(F.col("_y") / high)}).join(placed, ["_cx", "_cy"])
+    far = metres_to_edge(F.col("_x"), F.col("_y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    return met.where(far <= metres).select("id").distinct()
+
+
 def edge_lists(regions: DataFrame, *, name: str, rings: str) -> DataFrame:
     """``region, edges``: each region's edges in one array, for joins by name."""
     edges = region_edges(regions, name=name, rings=rings)

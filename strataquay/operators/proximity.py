@@ -1,7 +1,7 @@
 """Points near other points, and the region that contains a point.
 
 Near points meet through an equi-join on grid cells no smaller than the
-distance; regions through an adaptive coverage of each polygon by quadtree
+distance, crowded cells and places in blocks of bounded chunks; regions through an adaptive coverage of each polygon by quadtree
 cells, where a cell wholly inside accepts its points at once and only points in
 boundary cells are tested exactly, against the few edges of that cell's band.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+#: Cells and edges of a coverage that may be broadcast: about 60 bytes each, 30 MB at most.
+BROADCAST_EDGES = 500_000
 #: Mean Earth radius in metres (fixed value).
 EARTH_RADIUS_M = 6_371_008.8
 
@@ -49,9 +51,10 @@ def near_pairs(
     correctly as long as cells there are wide enough; pass a larger bound for
     polar data.  Distances across the 180th meridian are not wrapped.
 
-    Equal positions are joined as one location; the members of a crowded
-    location are split over salts of ``rows_per_salt`` rows, so no task holds
-    more than that many rows against one location's members.
+    Equal positions are joined as one location, locations meet by cells.  Both cells
+    of many locations and locations of many rows are taken apart: their members are
+    hashed into chunks of about ``rows_per_salt`` and every two chunks meet as a block
+    of their own, so no task sees more than a chunk of either side, wherever rows crowd.
     """
     extra = [F.col(differ).alias("_differ")] if differ else []
     clean = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
@@ -62,40 +65,88 @@ def near_pairs(
     )
     height = math.degrees(distance_m / EARTH_RADIUS_M) * 1.000001
     width = height / math.cos(math.radians(max_latitude)) * 1.000001
-    places = rows.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n")).select(
-        "*", F.floor(F.col("_x") / width).alias("_cx"), F.floor(F.col("_y") / height).alias("_cy")
+    places = materialize(
+        rows.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_cx": F.floor(F.col("_x") / width), "_cy": F.floor(F.col("_y") / height)})
     )
+    # --- pairs of locations: cells by cells ------------------------------------------------
     # Each unordered pair of neighbouring cells is met once: the own cell and four forward ones.
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
-    left = places.select(F.col("_x").alias("_xa"), F.col("_y").alias("_ya"), F.col("_n").alias("_na"), "_cx", "_cy", F.explode(steps).alias("_s"))
-    left = left.select(
-        "_xa", "_ya", "_na", (F.col("_cx") + F.col("_s.dx")).alias("_cx"), (F.col("_cy") + F.col("_s.dy")).alias("_cy"),
-        ((F.col("_s.dx") == 0) & (F.col("_s.dy") == 0)).alias("_own"),
+
+    def forward(frame: DataFrame, *kept: str) -> DataFrame:
+        moved = frame.select(*kept, F.col("_cx").alias("_ax"), F.col("_cy").alias("_ay"), F.explode(steps).alias("_s"))
+        return moved.select(*kept, "_ax", "_ay", (F.col("_ax") + F.col("_s.dx")).alias("_cx"), (F.col("_ay") + F.col("_s.dy")).alias("_cy"))
+
+    crowded = materialize(places.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_places")).where(F.col("_places") > rows_per_salt))
+    many = ["_xa", "_ya", "_na", "_xb", "_yb", "_nb", "_same_cell"]
+    side = lambda s: [F.col("_x").alias(f"_x{s}"), F.col("_y").alias(f"_y{s}"), F.col("_n").alias(f"_n{s}")]
+    calm = places.join(crowded, ["_cx", "_cy"], "left_anti")
+    same_cell = (F.col("_ax") == F.col("_cx")) & (F.col("_ay") == F.col("_cy"))
+    met = (
+        forward(calm.select(*side("a"), "_cx", "_cy"), "_xa", "_ya", "_na").withColumn("_same_cell", same_cell)
+        .join(calm.select(*side("b"), "_cx", "_cy"), ["_cx", "_cy"]).select(*many)
     )
-    right = places.select(F.col("_x").alias("_xb"), F.col("_y").alias("_yb"), F.col("_n").alias("_nb"), "_cx", "_cy")
+    if not crowded.isEmpty():
+        cells = places.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_places"))
+        both = (
+            forward(cells.withColumnRenamed("_places", "_pa"), "_pa").join(cells.withColumnRenamed("_places", "_pb"), ["_cx", "_cy"])
+            .where((F.col("_pa") > rows_per_salt) | (F.col("_pb") > rows_per_salt)).withColumn("_same_cell", same_cell)
+            .select(F.struct("_ax", "_ay").alias("_ga"), F.struct("_cx", "_cy").alias("_gb"), F.col("_pa").alias("_na"), F.col("_pb").alias("_nb"), "_same_cell")
+        )
+        in_cell = places.select(F.struct("_cx", "_cy").alias("_g"), F.xxhash64("_x", "_y").alias("_h"), F.struct("_x", "_y", "_n").alias("_m"))
+        named = in_cell.withColumn("_g", F.struct(F.col("_g._cx").alias("_ax"), F.col("_g._cy").alias("_ay")))
+        blocks = _met_in_blocks(both, named, in_cell, rows_per_salt, "_same_cell")
+        met = met.unionByName(
+            blocks.select(
+                *[F.col(f"_ma._{c}").alias(f"_{c}a") for c in "xyn"], *[F.col(f"_mb._{c}").alias(f"_{c}b") for c in "xyn"], "_same_cell"
+            ).select(*many)
+        )
     ordered = (F.col("_xa") < F.col("_xb")) | ((F.col("_xa") == F.col("_xb")) & (F.col("_ya") <= F.col("_yb")))
-    met = left.join(right, ["_cx", "_cy"]).where(~F.col("_own") | ordered).where(
-        great_circle_m(F.col("_xa"), F.col("_ya"), F.col("_xb"), F.col("_yb")) <= distance_m
-    )
+    met = met.where(~F.col("_same_cell") | ordered).where(great_circle_m(F.col("_xa"), F.col("_ya"), F.col("_xb"), F.col("_yb")) <= distance_m)
     # A location that has no neighbour and holds one row ends here.
     met = met.where((F.col("_xa") != F.col("_xb")) | (F.col("_ya") != F.col("_yb")) | (F.col("_na") > 1))
-    salts = F.ceil(F.col("_na") / F.lit(rows_per_salt)).cast("int")
-    met = met.withColumn("_salts", salts).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    sizes = places.where(F.col("_n") > rows_per_salt).select(
-        F.col("_x"), F.col("_y"), F.ceil(F.col("_n") / F.lit(rows_per_salt)).cast("int").alias("_salts")
-    )
-    salted = rows.join(sizes, ["_x", "_y"], "left").withColumn(
-        "_salt", F.pmod(F.xxhash64("_id"), F.coalesce("_salts", F.lit(1))).cast("int")
+    # --- pairs of rows: locations by locations ---------------------------------------------
+    fields = ["_id", "_differ"] if differ else ["_id"]
+    member = lambda s: F.struct(*fields).alias(f"_m{s}")
+    large = (F.col("_na") > rows_per_salt) | (F.col("_nb") > rows_per_salt)
+    found = (
+        met.where(~large).select("_xa", "_ya", "_xb", "_yb")
+        .join(rows.select(F.col("_x").alias("_xa"), F.col("_y").alias("_ya"), member("a")), ["_xa", "_ya"])
+        .join(rows.select(F.col("_x").alias("_xb"), F.col("_y").alias("_yb"), member("b")), ["_xb", "_yb"])
+        .select(((F.col("_xa") == F.col("_xb")) & (F.col("_ya") == F.col("_yb"))).alias("_same_place"), "_ma", "_mb")
     )
-    named = ["_id", "_differ"] if differ else ["_id"]
-    side_a = salted.select(F.col("_x").alias("_xa"), F.col("_y").alias("_ya"), "_salt", *[F.col(c).alias(f"{c}_a") for c in named])
-    side_b = rows.select(F.col("_x").alias("_xb"), F.col("_y").alias("_yb"), *[F.col(c).alias(f"{c}_b") for c in named])
-    pairs = met.select("_xa", "_ya", "_xb", "_yb", "_salt").join(side_a, ["_xa", "_ya", "_salt"]).join(side_b, ["_xb", "_yb"])
-    same_place = (F.col("_xa") == F.col("_xb")) & (F.col("_ya") == F.col("_yb"))
-    pairs = pairs.where(~same_place | (F.col("_id_a") < F.col("_id_b")))
+    if not places.where(F.col("_n") > rows_per_salt).isEmpty():
+        both = met.where(large).select(
+            F.struct("_xa", "_ya").alias("_ga"), F.struct("_xb", "_yb").alias("_gb"), "_na", "_nb",
+            ((F.col("_xa") == F.col("_xb")) & (F.col("_ya") == F.col("_yb"))).alias("_same_place"),
+        )
+        at = lambda s: rows.select(F.struct(F.col("_x").alias(f"_x{s}"), F.col("_y").alias(f"_y{s}")).alias("_g"), F.xxhash64("_id").alias("_h"), F.struct(*fields).alias("_m"))
+        found = found.unionByName(_met_in_blocks(both, at("a"), at("b"), rows_per_salt, "_same_place").select("_same_place", "_ma", "_mb"))
+    pairs = found.where(~F.col("_same_place") | (F.col("_ma._id") < F.col("_mb._id")))
     if differ:
-        pairs = pairs.where(~F.col("_differ_a").eqNullSafe(F.col("_differ_b")))
-    return pairs.select(F.least("_id_a", "_id_b").alias("id_a"), F.greatest("_id_a", "_id_b").alias("id_b"))
+        pairs = pairs.where(~F.col("_ma._differ").eqNullSafe(F.col("_mb._differ")))
+    return pairs.select(F.least("_ma._id", "_mb._id").alias("id_a"), F.greatest("_ma._id", "_mb._id").alias("id_b"))
+
+
+def _met_in_blocks(pairs: DataFrame, left: DataFrame, right: DataFrame, most: int, *kept: str) -> DataFrame:
+    """``_ma, _mb`` and ``kept`` for all members of every pair of groups, chunk by chunk.
+
+    ``pairs`` has groups ``_ga, _gb`` and their sizes ``_na, _nb``; ``left`` and ``right`` have a
+    member's group ``_g``, a hash ``_h`` and its content ``_m``.
+    """
+    chunks = lambda n: F.ceil(F.col(n) / F.lit(most)).cast("int")
+    blocks = materialize(
+        pairs.select("_ga", "_gb", chunks("_na").alias("_sa"), chunks("_nb").alias("_sb"), *kept)
+        .withColumn("_ka", F.explode(F.sequence(F.lit(0), F.col("_sa") - 1))).withColumn("_kb", F.explode(F.sequence(F.lit(0), F.col("_sb") - 1)))
+    )
+
+    def side(members: DataFrame, s: str) -> DataFrame:
+        group, salts, chunk = f"_g{s}", f"_s{s}", f"_k{s}"
+        sized = members.join(blocks.select(F.col(group).alias("_g"), F.col(salts).alias("_salts")).distinct(), "_g")
+        own = sized.select(F.col("_g").alias(group), F.pmod("_h", F.col("_salts")).cast("int").alias(chunk), F.col("_m").alias(f"_m{s}"))
+        return blocks.select("_ga", "_gb", "_ka", "_kb", *(kept if s == "a" else ())).join(own, [group, chunk])
+
+    return side(left, "a").join(side(right, "b"), ["_ga", "_gb", "_ka", "_kb"])
 
 
 def _touching(edges: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
@@ -166,13 +217,18 @@ def polygon_coverage(regions: DataFrame, *, name: str, part: str, rings: str, si
 
 
 def containing_regions(
-    points: DataFrame, regions: DataFrame, *, id_column: str, x: str, y: str, name: str, part: str, rings: str, size: float = 0.08, levels: int = 5
+    points: DataFrame, regions: DataFrame, *, id_column: str, x: str, y: str, name: str, part: str, rings: str, size: float = 0.08, levels: int = 5,
+    broadcast_edges: int = BROADCAST_EDGES, salts: int = 16,
 ) -> DataFrame:
     """``id, region`` for every point and region that contains it (even-odd over all rings).
 
     A point in several parts of a region appears once per part; points with null
     or NaN coordinates, and points outside all regions, have no row.  Points on
     a border follow the half-open rule: lower and left edges belong inside.
+
+    A coverage of at most ``BROADCAST_EDGES`` cells and edges is broadcast, its size having been
+    counted; a larger one is joined by cells with points salted, so that the many
+    points of a coarse interior cell or of a crowded place are spread over tasks.
     """
     cover = materialize(polygon_coverage(regions, name=name, part=part, rings=rings, size=size, levels=levels))
     spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(
@@ -190,6 +246,13 @@ def containing_regions(
     )
     placed = spots.select("*", F.explode(keys).alias("_k")).select("id", "_x", "_y", "_k.*")
     cell = ["level", "cell_x", "cell_y"]
+    weight = cover.select(F.coalesce(F.sum(1 + F.greatest(F.size("edges"), F.lit(0))), F.lit(0))).first()[0]
+    if weight <= broadcast_edges:
+        cover = F.broadcast(cover)
+    else:
+        cover = cover.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        placed = placed.withColumn("_salt", F.pmod(F.xxhash64("id", "_x", "_y"), F.lit(salts)).cast("int"))
+        cell = [*cell, "_salt"]
     inside = placed.join(cover.where("interior").select("region", *cell), cell).select("id", "region")
     crossings = F.aggregate(
         "edges",

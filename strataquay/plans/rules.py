@@ -14,11 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import edge_lists, flat_metres, metres_to_edges
+from ..functions.geometry import edge_lists, flat_metres, metres_to_edges, near_edges, region_edges
 from ..functions.phone_rule import phone_issue
 from ..functions.scalars import fixed, similar_names, without_spot
 from ..operators.components import connected_components
-from ..operators.proximity import near_pairs  # noqa: F401  (re-exported for rule authors)
 from ..session import materialize
 
 RULESET_VERSION = 2
@@ -89,17 +88,10 @@ def _metres_to_region(i: RuleInput, frame: DataFrame, region: str, out: str) ->
     return frame.join(edges, region, "left").withColumn(out, metres_to_edges(F.col("x"), F.col("y"), F.col("edges"))).drop("edges")
 
 
-def metres_to_any_region(i: RuleInput, frame: DataFrame, out: str) -> DataFrame:
-    """Distance to the nearest edge of any region, edge by edge over the (small) regions table."""
-    edges = edge_lists(i.regions, name=i.region_name, rings=i.rings)
-    spots = frame.select("row_id", "x", "y").withColumn("_one", F.lit(1)).join(edges.withColumn("_one", F.lit(1)), "_one")
-    nearest = spots.groupBy("row_id").agg(F.min(metres_to_edges(F.col("x"), F.col("y"), F.col("edges"))).alias(out))
-    return frame.join(nearest, "row_id", "left").withColumn(out, F.coalesce(out, F.lit(float("inf"))))
-
-
 def outside_city(i: RuleInput) -> DataFrame:
     candidates = materialize(i.facts.where("is_point and status = 'ok' and located is null"))
-    far = _in_named_region(i, metres_to_any_region(i, candidates, "metres")).where(F.col("metres") > BOUNDARY_M)
+    near = near_edges(candidates, region_edges(i.regions, name=i.region_name, rings=i.rings), id_column="row_id", x="x", y="y", metres=BOUNDARY_M)
+    far = _in_named_region(i, candidates.join(near.withColumnRenamed("id", "row_id"), "row_id", "left_anti"))
     claims = F.coalesce(F.col("addr_in_city"), F.col("named"))
     consistent = (F.col("addr_in_city") == F.lit(False)) & ~claims
     far = far.withColumns({"claims": claims, "consistent": F.coalesce(consistent, F.lit(False))})

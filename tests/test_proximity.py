@@ -3,6 +3,9 @@
 import math
 import random
 
+import pytest
+
+from strataquay.functions.geometry import METRES_PER_DEGREE, near_edges
 from strataquay.operators.proximity import containing_regions, near_pairs
 
 R = 6_371_008.8
@@ -34,6 +37,36 @@ def test_near_pairs(spark):
     assert near(spark, rows, rows_per_salt=4) == brute(rows)
 
 
+@pytest.mark.parametrize("salt", [2, 7, 1000])
+def test_near_pairs_of_one_crowded_place(spark, salt):
+    """A third of all rows at one position and a third in one cell: chunks of every size give all pairs once."""
+    random.seed(6)
+    rows = [(i, random.choice(["a", "b"]), 127.0, 37.0, 0.0, 0) for i in range(60)]
+    rows += [(100 + i, random.choice(["a", "b", None]), 127.00005 + random.random() * 2e-5, 37.0 + random.random() * 2e-5, 0.0, 0) for i in range(60)]
+    rows += [(200 + i, random.choice(["a", "b"]), 127 + random.random() * 1e-3, 37 + random.random() * 1e-3, 0.0, 0) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id bigint, name string, x double, y double, _x double, _n int")
+    got = [tuple(r) for r in near_pairs(frame, id_column="id", x="x", y="y", distance_m=10, differ="name", rows_per_salt=salt).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_near_edges(spark):
+    random.seed(9)
+    edges = [(127 + random.random(), 37 + random.random(), 127 + random.random(), 37 + random.random()) for _ in range(12)] + [(127.5, 37.5, 127.5, 37.5)]
+    points = [(i, 127 + random.random(), 37 + random.random()) for i in range(400)] + [(900, None, 37.0), (901, float("nan"), 37.0), (902, 127.5, 37.5)]
+
+    def apart(x, y, e):
+        k = METRES_PER_DEGREE * math.cos(math.radians(y))
+        (px, py), (dx, dy) = ((e[0] - x) * k, (e[1] - y) * METRES_PER_DEGREE), ((e[2] - e[0]) * k, (e[3] - e[1]) * METRES_PER_DEGREE)
+        t = max(0.0, min(1.0, -(px * dx + py * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        return math.hypot(px + t * dx, py + t * dy)
+
+    want = {i for i, x, y in points if x is not None and x == x and any(apart(x, y, e) <= 1500 for e in edges)}
+    frame, lines = spark.createDataFrame(points, "id bigint, x double, y double"), spark.createDataFrame(edges, "ax double, ay double, bx double, by double")
+    call = lambda f, l: [r.id for r in near_edges(f, l, id_column="id", x="x", y="y", metres=1500).collect()]
+    got = call(frame, lines)
+    assert len(got) == len(set(got)) and set(got) == want and want and call(frame.limit(0), lines) == call(frame, lines.limit(0)) == []
+
+
 def test_near_pairs_empty(spark):
     assert near(spark, []) == set()
 
@@ -62,6 +95,8 @@ def test_containing_regions(spark):
     got = {tuple(r) for r in containing_regions(frame, areas, id_column="id", x="x", y="y", name="name", part="part", rings="rings").collect()}
     want = {(i, n) for i, x, y in points if x is not None and x == x for n, _, rs in regions if rs and inside((x, y), rs)}
     assert got == want
+    salted = containing_regions(frame, areas, id_column="id", x="x", y="y", name="name", part="part", rings="rings", broadcast_edges=0, salts=3)
+    assert {tuple(r) for r in salted.collect()} == want
     none = containing_regions(frame.limit(0), areas, id_column="id", x="x", y="y", name="name", part="part", rings="rings")
     assert none.count() == 0
     assert containing_regions(frame, areas.limit(0), id_column="id", x="x", y="y", name="name", part="part", rings="rings").count() == 0
