@@ -37,6 +37,12 @@ def test_phone_issue_grades(spark):
     cases = [
         ("", None, None), ("02-2245-8202", None, None), ("02-2258-4300,4100", None, None), ("02-2627-2503~4", None, None), ("120", None, None), ("02%29364-4686", "error", "02)364-4686"),
         ("http://x.kr", "error", None), ("null", "error", None), ("없음", "info", None), ("--", "info", None), ("2-2245-8202", "suspect", "02-2245-8202"), ("2245-8202", "suspect", None),
+        ("0507-1494-2032", None, None), ("1566-6688", None, None), ("(02) 351-8673", None, None), ("063 275 9992", None, None), ("0336360601", None, None), ("02-2116-2491∼2503", None, None),
+        ("02-448-3302 FAX : 02-448-6022", None, None), ("02-350-5141 (도담구시설관리공단)", None, None), ("관리부서:도담구 푸른도시과 02-2147-3380", None, None), ("02-820-9818,832-2445", None, None),
+        ("070-7527-1316 010-7223-8254", None, None), ("02-120", None, None), ("-1533-2158", None, None), ("02%29%2B120", "error", "02)+120"), ("En-cry-pted", "error", None), ("a.kr가", "error", None),
+        ("053\ufffd642\ufffd8078", "error", None), ("28159575", "suspect", None), ("010-7373", "suspect", None), ("1", "suspect", None), ("070-4224-192", "suspect", None), ("02-3999-219", "suspect", None),
+        ("269563233", "suspect", "02-6956-3233"), (".", "info", None), ("업체미제공", "info", None), ("02-3800-948~950", "suspect", None), ("02-2256-6100-1", "suspect", None), ("558-0123, 558-0135", "suspect", None),
+        ("1588-1775\n(2260-7311)", "suspect", None), ("82-2-2635-1900\r\n010-5441-2247", "suspect", None), ("0-533-4001", "suspect", None), ("02-766-7858%2B%2F%2B010", "error", "02-766-7858+/+010"), ("5031234567 02-123-4567", "suspect", "0503-123-4567"),
         ("02-224-82", "suspect", None), ("문의", "suspect", None), ("02-431-3535(3206)", None, None), ("02-12345-678", "suspect", None),
     ]
     frame = spark.createDataFrame([(c[0],) for c in cases], "t string").select("t", phone_issue(F.col("t")).alias("i"))
