@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .changes import content_hash
 
 
@@ -51,36 +50,42 @@ def snapshot_hashes(rows: DataFrame, *, scope: Sequence[str], columns: Sequence[
     )
 
 
-def key_changes(keyed: DataFrame, pairs: DataFrame, *, group: str, load: str, key: str, columns: Sequence[str]) -> DataFrame:
-    """``group, prev_<load>, <load>, key, change`` for every key added, removed or modified.
+def hashed_rows(keyed: DataFrame, *, keep: Sequence[str], columns: Sequence[str], dates: Sequence[str] = ()) -> DataFrame:
+    """``keep`` and two 128-bit hashes of every row: of all ``columns``, and of those that aren't ``dates``."""
+    whole, lasting = content_hash(columns), content_hash([c for c in columns if c not in dates])
+    return keyed.select(*keep, F.struct(*[h.alias(f"h{n}") for n, h in enumerate(whole)]).alias("_whole"), F.struct(*[h.alias(f"h{n}") for n, h in enumerate(lasting)]).alias("_lasting"))
 
-    ``pairs`` (``group, prev_<load>, <load>``) names the states to compare.  Only
-    keys and fixed-width hashes meet in the join.
+
+def key_changes(hashed: DataFrame, pairs: DataFrame, *, group: str, load: str, key: str) -> DataFrame:
+    """``group, prev_<load>, <load>, key, change``: keys added, removed, modified, or with other dates only.
+
+    ``hashed`` comes from :func:`hashed_rows`; ``pairs`` (``group, prev_<load>, <load>``) names the states to
+    compare.  Only keys and fixed-width hashes meet in the join.
     """
-    h1, h2 = content_hash(columns)
-    hashed = materialize(keyed.select(group, load, key, h1.alias("_h1"), h2.alias("_h2")))
     prev = f"prev_{load}"
-    after = hashed.join(pairs, [group, load]).select(group, prev, load, key, F.struct("_h1", "_h2").alias("_after"))
-    before = hashed.withColumnRenamed(load, prev).join(pairs, [group, prev]).select(group, prev, load, key, F.struct("_h1", "_h2").alias("_before"))
+    side = lambda s: [F.col("_whole").alias(f"_whole_{s}"), F.col("_lasting").alias(f"_lasting_{s}")]
+    after = hashed.join(pairs, [group, load]).select(group, prev, load, key, *side("after"))
+    before = hashed.withColumnRenamed(load, prev).join(pairs, [group, prev]).select(group, prev, load, key, *side("before"))
     met = after.join(before, [group, prev, load, key], "full_outer")
-    change = F.when(F.col("_before").isNull(), "added").when(F.col("_after").isNull(), "removed").otherwise("modified")
-    return met.where(~F.col("_before").eqNullSafe(F.col("_after"))).select(group, prev, load, key, change.alias("change"))
+    change = (
+        F.when(F.col("_whole_before").isNull(), "added").when(F.col("_whole_after").isNull(), "removed")
+        .when(F.col("_lasting_before") == F.col("_lasting_after"), "dates_only").otherwise("modified")
+    )
+    return met.where(~F.col("_whole_before").eqNullSafe(F.col("_whole_after"))).select(group, prev, load, key, change.alias("change"))
 
 
 def field_changes(keyed: DataFrame, changes: DataFrame, *, group: str, load: str, key: str, columns: Sequence[str]) -> DataFrame:
-    """``group, prev_<load>, <load>, key, column, before, after`` for every changed field of modified keys.
+    """``group, prev_<load>, <load>, key, column, before, after`` for every changed field of keys that are in both states.
 
-    Values are compared as canonical text; a null is told from empty text.
+    Values are compared as canonical text; a null is told from empty text.  ``columns`` may be the union of both states'
+    columns: one that a state lacks is null in ``keyed``.
     """
     kinds = dict(keyed.dtypes)
     prev = f"prev_{load}"
-    modified = materialize(changes.where("change = 'modified'").select(group, prev, load, key))
+    moved = changes.where("change in ('modified', 'dates_only')").select(group, prev, load, key)
     values = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[canonical_text(c, kinds[c]) for c in columns]))
-    state = keyed.select(group, load, key, values.alias("_values"))
-    after = state.join(modified, [group, load, key]).select(group, prev, load, key, F.explode("_values").alias("column", "_after"))
-    before = state.withColumnRenamed(load, prev).join(modified, [group, prev, key]).select(
-        group, prev, load, key, F.explode("_values").alias("column", "_before")
-    )
+    after = keyed.join(moved, [group, load, key]).select(group, prev, load, key, F.explode(values).alias("column", "_after"))
+    before = keyed.withColumnRenamed(load, prev).join(moved, [group, prev, key]).select(group, prev, load, key, F.explode(values).alias("column", "_before"))
     plain = lambda c: F.when(F.col(c) != "\x00", F.col(c))
     return (
         after.join(before, [group, prev, load, key, "column"])
@@ -89,14 +94,6 @@ def field_changes(keyed: DataFrame, changes: DataFrame, *, group: str, load: str
     )
 
 
-def split_dates_only(changes: DataFrame, fields: DataFrame, *, keys: Sequence[str], dates: Sequence[str]) -> DataFrame:
-    """``changes`` with modified keys whose only changed fields are ``dates`` turned to ``dates_only``."""
-    lasting = fields.where(~F.col("column").isin(*dates)).select(*keys).distinct().withColumn("_lasting", F.lit(True))
-    return changes.join(lasting, list(keys), "left").select(
-        *keys, F.when((F.col("change") == "modified") & F.col("_lasting").isNull(), "dates_only").otherwise(F.col("change")).alias("change")
-    )
-
-
 def finding_changes(before: DataFrame, after: DataFrame, *, keys: Sequence[str]) -> DataFrame:
     """``keys, fingerprint, change, severity_before, severity_after`` of two sets of findings.
 

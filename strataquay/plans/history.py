@@ -1,4 +1,8 @@
-"""Run-to-run state: what changed since the last good load, versions, catalogue, totals, guards."""
+"""Run-to-run state: what changed since the last good load, versions, catalogue, totals, guards.
+
+Keys, hashes and findings come from the store of published runs (``published``): a new run is
+worked out alone and compared with its predecessors' stored tables.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +12,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.diffs import field_changes, finding_changes, key_changes, snapshot_hashes, split_dates_only
+from ..operators.diffs import field_changes, finding_changes, hashed_rows, key_changes, snapshot_hashes
 from ..session import materialize
 from ..tables import content_columns, table
+from . import rules as R
 from .facts import row_keys
+from .published import RunStore, of_runs
 from .rule_queries import SCOPE, findings
 
 THEME, RUN, PREV = "cot_theme_id", "run_tag", "prev_run_tag"
@@ -55,22 +61,39 @@ class History:
         return self.ok_loads.where(f"{PREV} is not null").select(THEME, PREV, RUN)
 
     @cached_property
-    def keyed(self) -> DataFrame:
-        """Rows of usable loads with their keys."""
-        rows = self.table("snapshots").join(self.ok_loads.select(THEME, RUN), [THEME, RUN], "left_semi")
-        return row_keys(rows, scope=SCOPE, id_column="cot_conts_id", order=["row_id"])
+    def store(self) -> RunStore:
+        return RunStore(self.spark, self.folder)
 
     @cached_property
-    def raw_changes(self) -> DataFrame:
-        return materialize(key_changes(self.keyed, self.pairs, group=THEME, load=RUN, key="key", columns=self.columns))
+    def rows(self) -> DataFrame:
+        """Key, name and content hashes of the rows of usable loads, as published per run."""
+        snapshots = self.table("snapshots")
+
+        def build(tags: list[str | None]) -> DataFrame:
+            keyed = row_keys(snapshots.where(of_runs(F.col(RUN), tags)), scope=SCOPE, id_column="cot_conts_id", order=["row_id"])
+            named = keyed.withColumn("name", F.nullif(F.trim("cot_conts_name"), F.lit("")))
+            return hashed_rows(named, keep=[RUN, THEME, "row_id", "key", "name"], columns=self.columns, dates=DATES)
+
+        return self.store.read("rows", build).join(self.ok_loads.select(THEME, RUN), [THEME, RUN], "left_semi")
+
+    def keyed(self, wanted: DataFrame) -> DataFrame:
+        """Whole rows of the ``wanted`` keys (theme, run, key)."""
+        ids = self.rows.join(wanted.select(THEME, RUN, "key").distinct(), [THEME, RUN, "key"], "left_semi").select("row_id", "key")
+        return self.table("snapshots").join(ids, "row_id")
 
     @cached_property
-    def fields(self) -> DataFrame:
-        return materialize(field_changes(self.keyed, self.raw_changes, group=THEME, load=RUN, key="key", columns=self.columns))
+    def sizes(self) -> DataFrame:
+        return self.rows.groupBy(THEME, RUN).agg(F.count(F.lit(1)).alias("row_count"))
 
     @cached_property
     def changes(self) -> DataFrame:
-        return split_dates_only(self.raw_changes, self.fields, keys=[THEME, PREV, RUN, "key"], dates=DATES)
+        return materialize(key_changes(self.rows, self.pairs, group=THEME, load=RUN, key="key"))
+
+    @cached_property
+    def fields(self) -> DataFrame:
+        moved = self.changes.where("change in ('modified', 'dates_only')")
+        both = moved.select(THEME, RUN, "key").unionByName(moved.select(THEME, F.col(PREV).alias(RUN), "key"))
+        return field_changes(self.keyed(both), moved, group=THEME, load=RUN, key="key", columns=self.columns)
 
     @cached_property
     def change_counts(self) -> DataFrame:
@@ -87,8 +110,7 @@ class History:
 
     @cached_property
     def findings(self) -> DataFrame:
-        found = findings(self.spark, self.folder)
-        return materialize(found.join(self.ok_loads.select(THEME, RUN), [THEME, RUN], "left_semi"))
+        return findings(self.spark, self.folder, self.store).join(self.ok_loads.select(THEME, RUN), [THEME, RUN], "left_semi")
 
     @cached_property
     def finding_counts(self) -> DataFrame:
@@ -108,22 +130,23 @@ class History:
     def finding_diff(self) -> DataFrame:
         return finding_changes(*self.sides(self.findings, self.findings), keys=[THEME, PREV, RUN])
 
-    def rules_effect(self, added_rules: tuple[str, ...]) -> DataFrame:
-        """Changes split into those of the data and those of the rules.
+    @cached_property
+    def rules_effect(self) -> DataFrame:
+        """Changes split into those of the data and those of the rules.
 
-        Where the later load was checked with a newer rule set, the earlier load's stored
-        findings lack ``added_rules``; checked again they have them.  Stored to rechecked
-        is the effect of the rules, rechecked to current that of the data.
+        A run's stored findings are those of the rule set it was checked with.  Where the later load was
+        checked with another version, the earlier load is checked again under that version: stored to
+        rechecked is the effect of the rules, rechecked to current that of the data.
         """
         versions = self.runs.select(RUN, "ruleset_version")
         jumps = (
             self.pairs.join(versions, RUN).join(versions.select(F.col(RUN).alias(PREV), F.col("ruleset_version").alias("_was")), PREV)
-            .where("ruleset_version <> _was").select(THEME, PREV, RUN)
+            .where("ruleset_version <> _was")
         )
-        rechecked, current = self.sides(self.findings, self.findings)
-        rechecked, current = (f.join(jumps, [THEME, PREV, RUN], "left_semi") for f in (rechecked, current))
-        stored = rechecked.where(~F.col("rule_id").isin(*added_rules))
         keys = [THEME, PREV, RUN]
+        before, after = (f.join(jumps, keys) for f in self.sides(self.findings, self.findings))
+        under = lambda version: F.array_contains(R.in_force(F.col(version)), F.col("rule_id"))
+        stored, rechecked, current = before.where(under("_was")), before.where(under("ruleset_version")), after.where(under("ruleset_version"))
         return finding_changes(stored, rechecked, keys=keys).withColumn("cause", F.lit("rules")).unionByName(
             finding_changes(rechecked, current, keys=keys).withColumn("cause", F.lit("data"))
         )
@@ -131,10 +154,9 @@ class History:
     @cached_property
     def versions(self) -> DataFrame:
         """The version log: a theme's first usable load and every one whose content changed since the one before."""
-        sizes = self.keyed.groupBy(THEME, RUN).agg(F.count(F.lit(1)).alias("row_count"))
         counts = self.change_counts.drop(PREV)
         log = (
-            self.ok_loads.join(sizes, [THEME, RUN], "left").join(counts, [THEME, RUN], "left").join(self.finding_counts, [THEME, RUN], "left")
+            self.ok_loads.join(self.sizes, [THEME, RUN], "left").join(counts, [THEME, RUN], "left").join(self.finding_counts, [THEME, RUN], "left")
             .where(F.col(PREV).isNull() | (F.col("added") + F.col("removed") + F.col("modified") > 0))
         )
         place = F.row_number().over(Window.partitionBy(THEME).orderBy("run_no"))
@@ -151,14 +173,13 @@ class History:
         last = self.ok_loads.join(
             self.ok_loads.groupBy(THEME).agg(F.max("run_no").alias("run_no")), [THEME, "run_no"], "left_semi"
         )
-        sizes = self.keyed.groupBy(THEME, RUN).agg(F.count(F.lit(1)).alias("row_count"))
         found = self.finding_diff.groupBy(THEME, PREV, RUN).agg(
             F.count_if(F.col("change") == "added").alias("findings_added"),
             F.count_if(F.col("change") == "resolved").alias("findings_resolved"),
             F.count_if(F.col("change") == "severity_changed").alias("findings_severity_changed"),
         )
         good = (
-            last.join(sizes, [THEME, RUN], "left").join(self.finding_counts, [THEME, RUN], "left")
+            last.join(self.sizes, [THEME, RUN], "left").join(self.finding_counts, [THEME, RUN], "left")
             .join(self.runs.select(RUN, F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("last_success_at")), RUN)
             .join(self.change_counts, [THEME, PREV, RUN], "left").join(found, [THEME, PREV, RUN], "left")
         )
@@ -184,8 +205,7 @@ class History:
     def run_totals(self) -> DataFrame:
         """Sums over the themes read in each run; moves are null where nothing was compared."""
         read = self.ok_loads.select(RUN, THEME, PREV)
-        sizes = self.keyed.groupBy(THEME, RUN).agg(F.count(F.lit(1)).alias("rows"))
-        met = read.join(sizes, [THEME, RUN], "left").join(self.finding_counts, [THEME, RUN], "left").join(self.change_counts.drop(PREV), [THEME, RUN], "left")
+        met = read.join(self.sizes.withColumnRenamed("row_count", "rows"), [THEME, RUN], "left").join(self.finding_counts, [THEME, RUN], "left").join(self.change_counts.drop(PREV), [THEME, RUN], "left")
         total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
         changed = F.col("added") + F.col("removed") + F.col("modified") > 0
         return met.groupBy(RUN).agg(

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from ..tables import content_columns, table
 from . import rule_sql
 from . import rules as R
-from .facts import ELSEWHERE, SNAPSHOT_ROLES, build_facts, named_regions, row_keys
+from .facts import SNAPSHOT_ROLES, build_facts, named_regions, row_keys
+from .published import RunStore, of_runs
 
 CITY = "한빛특별시|한빛시|한빛"
 SCOPE = SNAPSHOT_ROLES.scope
@@ -20,21 +21,35 @@ _NOT_CONTENT = ("cot_conts_id", "cot_reg_date", "cot_update_date")
 FIELDS = {"x": "cot_coord_x", "region": "cot_gu_name", "name": "cot_conts_name", "phone": "cot_tel_no", "image": "cot_img_main_url", "id": "cot_conts_id"}
 
 
-def rule_input(spark: SparkSession, folder: str) -> R.RuleInput:
+def rule_input(spark: SparkSession, folder: str, store: RunStore | None = None, runs: list[str | None] | None = None) -> R.RuleInput:
+    """What the rules read: published facts of all runs, or of ``runs`` alone."""
+    store = store or RunStore(spark, folder)
     rows, regions = table(spark, folder, "snapshots"), table(spark, folder, "district_boundaries")
-    facts = build_facts(rows, regions, SNAPSHOT_ROLES, city=CITY, region_name="gu_name", region_part="polygon_no", rings="coordinates")
     content = tuple(c for c in content_columns(rows) if c not in _NOT_CONTENT)
-    return R.RuleInput(facts=facts, rows=rows, regions=regions, scope=SCOPE, row="row_id", content=content, fields=FIELDS)
 
+    def facts(tags: list[str | None]) -> DataFrame:
+        return build_facts(rows.where(of_runs(F.col("run_tag"), tags)), regions, SNAPSHOT_ROLES, city=CITY, region_name="gu_name", region_part="polygon_no", rings="coordinates")
 
-def findings(spark: SparkSession, folder: str, i: R.RuleInput | None = None) -> DataFrame:
-    return R.run_rules(R.COMMON_RULES, i or rule_input(spark, folder))
+    known = store.read("facts", facts)
+    if runs is not None:
+        rows, known = (f.where(of_runs(F.col("run_tag"), runs)) for f in (rows, known))
+    return R.RuleInput(facts=known, rows=rows, regions=regions, scope=SCOPE, row="row_id", content=content, fields=FIELDS)
+
+
+def findings(spark: SparkSession, folder: str, store: RunStore | None = None) -> DataFrame:
+    """Findings of every run; only those of runs that aren't published yet are worked out."""
+    store = store or RunStore(spark, folder)
+    return store.read("findings", lambda tags: R.run_rules(R.COMMON_RULES, rule_input(spark, folder, store, tags)))
 
 
 def _one(check: Callable[[R.RuleInput], DataFrame], spark: SparkSession, folder: str) -> DataFrame:
     return check(rule_input(spark, folder))
 
 
+def _row_rule(issue: Callable[[R.RuleInput], Column], spark: SparkSession, folder: str) -> DataFrame:
+    return R.row_findings(rule_input(spark, folder), [("", issue)]).drop("rule_id")
+
+
 def facts_all(spark: SparkSession, folder: str) -> DataFrame:
     """The facts of every row."""
     return rule_input(spark, folder).facts.select(
@@ -148,13 +163,15 @@ def rule_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(r.id, r.title) for r in R.COMMON_RULES], "rule_id string, title string")
 
 
+_ROW_RULES = {
+    "missing_coord": R.missing_coordinate, "swapped_coord": R.swapped_coordinate, "out_of_range": R.out_of_range, "phone_findings": R.phone_format,
+    "missing_name": R.missing_name, "dup_id_findings": R.duplicate_id,
+}
 _RULE_QUERIES = {
-    "missing_coord": R.missing_coordinate, "swapped_coord": R.swapped_coordinate, "out_of_range": R.out_of_range, "outside_city": R.outside_city,
-    "region_mismatch": R.region_against_coordinate, "address_mismatch": R.region_against_address, "region_blank_ratio": R.region_blank,
-    "dup_content": R.same_content, "similar_names": R.similar_name_at_point, "near_same_name": R.near_same_name, "phone_findings": R.phone_format,
-    "missing_name": R.missing_name, "shared_value": R.shared_image, "dup_id_findings": R.duplicate_id,
+    "outside_city": R.outside_city, "region_mismatch": R.region_against_coordinate, "address_mismatch": R.region_against_address, "region_blank_ratio": R.region_blank,
+    "dup_content": R.same_content, "similar_names": R.similar_name_at_point, "near_same_name": R.near_same_name, "shared_value": R.shared_image,
 }
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(_one, check) for name, check in _RULE_QUERIES.items()} | {
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(_one, check) for name, check in _RULE_QUERIES.items()} | {name: partial(_row_rule, issue) for name, issue in _ROW_RULES.items()} | {
     f.__name__: f
     for f in (
         facts_all, row_keys_all, row_keys_lineitem, dup_id_lineitem, all_findings, severity_counts, rule_counts, id_format, id_region,

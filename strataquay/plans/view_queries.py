@@ -13,8 +13,6 @@ from ..tables import content_columns, table
 from . import view_sql
 from .history import PREV, RUN, SEVERITIES, THEME, History
 
-#: Rules that the second rule set added.
-ADDED_RULES = ("C-09", "C-12")
 #: Columns by meaning; others keep their raw name.
 LABELS = {"cot_conts_name": "name", "cot_addr_full_new": "road address", "cot_addr_full_old": "lot address", "cot_tel_no": "telephone", "cot_gu_name": "district", "cot_coord_x": "longitude", "cot_coord_y": "latitude", "cot_update_date": "updated"}
 
@@ -68,7 +66,7 @@ def unchanged_count(spark: SparkSession, folder: str) -> DataFrame:
 
 def rules_effect_split(spark: SparkSession, folder: str) -> DataFrame:
     """I2"""
-    return History(spark, folder).rules_effect(ADDED_RULES).where("change <> 'unchanged'")
+    return History(spark, folder).rules_effect.where("change <> 'unchanged'")
 
 
 def version_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,7 +180,7 @@ def paged_findings(spark: SparkSession, folder: str) -> DataFrame:
 def compare_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Changed fields with column labels and the row's name, the later one preferred."""
     h = History(spark, folder)
-    names = h.keyed.select(THEME, RUN, "key", F.nullif(F.trim("cot_conts_name"), F.lit("")).alias("name"))
+    names = h.rows.select(THEME, RUN, "key", "name")
     labels = spark.createDataFrame(list(LABELS.items()), "column string, label string")
     return (
         h.fields.join(names.withColumnRenamed("name", "_after"), [THEME, RUN, "key"], "left")
@@ -195,10 +193,10 @@ def compare_versions(spark: SparkSession, folder: str) -> DataFrame:
 def row_detail(spark: SparkSession, folder: str) -> DataFrame:
     """The filled fields of every row that has an error, with how they are shown."""
     h = History(spark, folder)
-    kinds = dict(h.keyed.dtypes)
+    kinds = dict(table(spark, folder, "snapshots").dtypes)
     hit = h.findings.where("severity = 'error' and conts_key is not null").select(THEME, RUN, F.col("conts_key").alias("key")).distinct()
     values = F.map_from_arrays(F.array(*[F.lit(c) for c in h.columns]), F.array(*[canonical_text(c, kinds[c]) for c in h.columns]))
-    shown = h.keyed.join(hit, [THEME, RUN, "key"], "left_semi").select(THEME, RUN, "key", F.explode(values).alias("column", "value"))
+    shown = h.keyed(hit).select(THEME, RUN, "key", F.explode(values).alias("column", "value"))
     return shown.where("value <> '\x00' and trim(value) <> ''")
 
 

@@ -5,10 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from strataquay.operators.diffs import finding_changes, key_changes, snapshot_hashes
+from strataquay.operators.diffs import field_changes, finding_changes, hashed_rows, key_changes, snapshot_hashes
 from strataquay.plans import catalogue
 from strataquay.plans import rules as R
 from strataquay.plans.facts import SNAPSHOT_ROLES, build_facts, row_keys
+from strataquay.plans.published import RunStore, of_runs
 from strataquay.plans.rule_queries import FIELDS, SCOPE
 from strataquay.sources import pages as P
 from strataquay.sources import store
@@ -36,9 +37,9 @@ def grades(frame):
 
 def test_coordinates(spark):
     i = rule_input(spark, [{"cot_coord_x": None}, {"cot_coord_x": 37.5, "cot_coord_y": 127.5}, {"cot_coord_x": 1.0}, {"cot_coord_x": float("nan")}, {}])
-    assert [r[0] for r in grades(R.missing_coordinate(i))] == ["id0", "id3"]
-    assert grades(R.swapped_coordinate(i)) == [("id1", "error", "127.500000, 37.500000")]
-    assert [r[0] for r in grades(R.out_of_range(i))] == ["id2"]
+    assert [r[0] for r in grades(R.row_findings(i, [("", R.missing_coordinate)]))] == ["id0", "id3"]
+    assert grades(R.row_findings(i, [("", R.swapped_coordinate)])) == [("id1", "error", "127.500000, 37.500000")]
+    assert [r[0] for r in grades(R.row_findings(i, [("", R.out_of_range)]))] == ["id2"]
 
 
 def test_regions(spark):
@@ -66,7 +67,7 @@ def test_duplicates(spark):
     i = rule_input(spark, [spot | {"cot_conts_name": "큰 나무 공원 안내소"}, spot | {"cot_conts_name": "큰나무공원안내소"}, spot | {"cot_conts_name": "큰나무공원안내수"}, spot | {"cot_conts_name": "다른 곳"},
                            spot | {"cot_conts_name": "쉼터 1층"}, spot | {"cot_conts_name": "쉼터 2층"}, {"cot_conts_id": "id0"}])
     assert {r.conts_key for r in R.similar_name_at_point(i).collect()} == {"id0#1", "id1", "id2"}
-    assert {r.conts_key for r in R.duplicate_id(i).collect()} == {"id0#1", "id0#2"}
+    assert {r.conts_key for r in R.row_findings(i, [("", R.duplicate_id)]).collect()} == {"id0#1", "id0#2"}
     near = rule_input(spark, [{"cot_conts_name": "갑", "cot_coord_x": 127.5}, {"cot_conts_name": "갑", "cot_coord_x": 127.5002}, {"cot_conts_name": "갑", "cot_coord_x": 127.6}])
     assert {(r.conts_key, r.group_key) for r in R.near_same_name(near).collect()} == {("id0", "near:id0"), ("id1", "near:id0")}
     same = rule_input(spark, [{"cot_conts_name": "x", "cot_coord_x": 127.5, "cot_conts_id": c} for c in ("b", "a", "c")])
@@ -87,6 +88,33 @@ def test_runner_names_fingerprints_and_replacement(spark):
     assert R.run_rules(R.COMMON_RULES, rule_input(spark, [{}]).__class__(**{**i.__dict__, "facts": i.facts.limit(0), "rows": i.rows.limit(0)})).count() == 0
 
 
+def test_messages_list_five_keys(spark):
+    i = rule_input(spark, [{"cot_conts_name": "x", "cot_coord_x": 127.5} for _ in range(7)])
+    found = R.same_content(i).collect()
+    assert len(found) == 7 and {r.message for r in found} == {"7 rows have the same content: id0, id1, id2, id3, id4 and 2 more"}
+    assert {r.message for r in R.run_rules(R.COMMON_RULES, rule_input(spark, [{"cot_tel_no": "1"}])).collect()} == {"the number of digits is wrong"}
+
+
+def test_runs_are_published_once(spark, tmp_path):
+    rows = spark.createDataFrame([(n, f"r{n % 2}", f"{n}") for n in range(6)], "row_id bigint, run_tag string, v string")
+    rows.where("run_tag = 'r0'").coalesce(1).write.parquet(f"{tmp_path}/snapshots.parquet")
+    spark.range(1).write.parquet(f"{tmp_path}/district_boundaries.parquet")
+    asked = []
+
+    def build(tags):
+        asked.append(sorted(tags, key=str))
+        return spark.read.parquet(f"{tmp_path}/snapshots.parquet").where(of_runs(F.col("run_tag"), tags)).withColumn("seen", F.lit(len(asked)))
+
+    call = lambda: {(r.row_id, r.run_tag, r.seen) for r in RunStore(spark, str(tmp_path)).read("kind", build).collect()}
+    first = {(n, "r0", 1) for n in (0, 2, 4)}
+    assert call() == first and call() == first and asked == [["r0"]]
+    rows.where("run_tag = 'r1'").coalesce(1).write.mode("append").parquet(f"{tmp_path}/snapshots.parquet")
+    assert call() == first | {(n, "r1", 2) for n in (1, 3, 5)} and asked == [["r0"], ["r1"]]
+    # a late row touches its run alone; a run without a tag is one of its own
+    spark.createDataFrame([(8, "r1", "late"), (9, None, "none")], rows.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/snapshots.parquet")
+    assert {n for n, *_ in call()} == {0, 1, 2, 3, 4, 5, 8, 9} and asked[2:] == [[None, "r1"]]
+
+
 def test_row_keys_do_not_depend_on_order(spark):
     rows = [(n, "s", "a" if n % 3 else None) for n in range(12)]
     keys = [
@@ -102,8 +130,12 @@ def test_hash_and_diff(spark):
     hashes = lambda f: {r.run: r.content_hash for r in snapshot_hashes(f, scope=["run"], columns=["key", "a", "x"]).collect()}
     assert hashes(frame) == hashes(frame.orderBy(F.desc("key")).repartition(3)) and len(set(hashes(frame).values())) == 2
     pairs = spark.createDataFrame([("g", "r0", "r1"), ("g", "r0", "r0")], "g string, prev_run string, run string")
-    changes = key_changes(frame, pairs, group="g", load="run", key="key", columns=["a", "x"]).collect()
-    assert {(r.key, r.change) for r in changes} == {("2", "modified"), ("3", "added")}
+    hashed = lambda dates: hashed_rows(frame, keep=["g", "run", "key"], columns=["a", "x"], dates=dates)
+    for dates, kind in ((["x"], "modified"), (["a"], "dates_only")):
+        changes = key_changes(hashed(dates), pairs, group="g", load="run", key="key")
+        assert {(r.key, r.change) for r in changes.collect()} == {("2", kind), ("3", "added")}
+        fields = field_changes(frame, changes, group="g", load="run", key="key", columns=["a", "x"]).collect()
+        assert [(r.key, r.column, r.before, r.after) for r in fields] == [("2", "a", None, "")]
     findings = spark.createDataFrame([("f", "error"), ("f", "info"), ("g", "info")], "fingerprint string, severity string")
     later = spark.createDataFrame([("f", "info"), ("h", "info")], "fingerprint string, severity string")
     got = {(r.fingerprint, r.change) for r in finding_changes(findings, later, keys=[]).collect()}
