@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +53,44 @@ def snapshot_hashes(rows: DataFrame, *, scope: Sequence[str], columns: Sequence[
     )
 
 
+def stored_hashes(rows: DataFrame, *, scope: Sequence[str], columns: Sequence[str], id_column: str) -> DataFrame:
+    """``scope, rows, stored_hash``: sha256 of a scope's rows as one JSON text, header included.
+
+    The text is ``{"columns":[...],"rows":[[...],...]}`` with columns by name and rows by id, then by their JSON; null stands for
+    missing values.  Sorted rows stream through the hash, so a task never holds a scope; yet one scope is
+    read by one task, as the hash of one text must be: use :func:`snapshot_hashes` where no stored hash has to be met.
+    Values are written as Spark's JSON does; only texts and whole numbers are the same in other writers.
+    """
+    named = sorted(columns)
+    head = json.dumps({"columns": named}, ensure_ascii=False, separators=(",", ":"))[:-1] + ',"rows":['
+    cells = [F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}) for c in named]
+    line = F.concat(F.lit("["), F.concat_ws(",", *[F.substring(c, F.lit(6), F.length(c) - 6) for c in cells]), F.lit("]"))
+    keys = [f"_k{n}" for n in range(len(scope))]
+    listed = rows.select(*[F.col(c).cast("string").alias(k) for c, k in zip(scope, keys, strict=True)], F.coalesce(F.col(id_column), F.lit("")).alias("_id"), line.alias("_line"))
+
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, n, out = None, None, 0, []
+        for frame in frames:
+            for *key, text in frame[[*keys, "_line"]].itertuples(index=False, name=None):
+                key = tuple(None if k is None or k != k else k for k in key)
+                if state is None or key != current:
+                    if state is not None:
+                        out.append((*current, n, state))
+                    current, state, n = key, hashlib.sha256(head.encode()), 0
+                if n:
+                    state.update(b",")
+                state.update(text.encode())
+                n += 1
+        if state is not None:
+            out.append((*current, n, state))
+        for *_, state in out:
+            state.update(b"]}")
+        yield pd.DataFrame([(*key, n, state.hexdigest()) for *key, n, state in out], columns=[*scope, "rows", "stored_hash"])
+
+    schema = ", ".join(f"`{c}` string" for c in scope) + ", rows bigint, stored_hash string"
+    return listed.repartition(*keys).sortWithinPartitions(*keys, "_id", "_line").mapInPandas(digest, schema)
+
+
 def hashed_rows(keyed: DataFrame, *, keep: Sequence[str], columns: Sequence[str], dates: Sequence[str] = ()) -> DataFrame:
     """``keep`` and two 128-bit hashes of every row: of all ``columns``, and of those that aren't ``dates``."""
     whole, lasting = content_hash(columns), content_hash([c for c in columns if c not in dates])

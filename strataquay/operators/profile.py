@@ -4,9 +4,9 @@ The chosen columns are unpivoted and counted per value, range-sorted by
 (column, group, value), and read once in order.  Each range partition reports
 prefix counts of its slice; adding the totals of the slices before it turns
 them into exact distinct counts, quantiles and, for two loads, the exact
-Kolmogorov-Smirnov distance between their cumulative curves.  A slice never
-holds more than its share of the sorted values, whatever the skew of a column
-or group, and only one small row per slice and group is gathered.
+Kolmogorov-Smirnov distance between their cumulative curves.  A slice streams
+through its task batch by batch, whatever the skew of a column or group, and
+only one small row per batch and group is gathered.
 """
 
 from __future__ import annotations
@@ -58,19 +58,34 @@ def cells(rows: DataFrame, columns: Sequence[ProfiledColumn], *, group: str, loa
     ).select("_group", "_load", *(["_id"] if id_column else []), "_cell.*")
 
 
-_SLICE_SCHEMA = "_part int, _pair bigint, _sum double, _low double, _high double, _jump double"
+_SLICE_SCHEMA = "_part bigint, _pair bigint, _sum double, _low double, _high double, _jump double"
 
 
 def _slice_curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk one range slice in order; report each curve's total, extremes and largest step.
+    """Walk one range slice in order; report each curve's total, extremes and largest step, batch by batch.
 
     Rows come sorted by ``_pair`` and value; ``_value`` is a hash that tells
-    neighbouring values apart, ``_share`` the row's signed share of its load.
+    neighbouring values apart, ``_share`` the row's signed share of its load.  The last value of
+    a batch waits for the next one, where it may go on, so no step is seen in halves.
     """
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    pair, value, share = (table.column(c).to_numpy() for c in ("_pair", "_value", "_share"))
+    pair, value, share = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    part, seen = 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = batch.column("_part")[0].as_py()
+        pair, value, share = (np.r_[held, batch.column(c).to_numpy()] for held, c in ((pair, "_pair"), (value, "_value"), (share, "_share")))
+        changes = np.flatnonzero((pair[1:] != pair[:-1]) | (value[1:] != value[:-1]))
+        done = changes[-1] + 1 if len(changes) else 0
+        if done:
+            yield _steps_of((part << 32) + seen, pair[:done], value[:done], share[:done])
+            seen += 1
+        pair, value, share = pair[done:][:1], value[done:][:1], share[done:].sum(keepdims=True)
+    if len(pair):
+        yield _steps_of((part << 32) + seen, pair, value, share)
+
+
+def _steps_of(part: int, pair: np.ndarray, value: np.ndarray, share: np.ndarray) -> pa.RecordBatch:
     new_pair = np.r_[True, pair[1:] != pair[:-1]]
     steps_at = np.flatnonzero(new_pair | np.r_[True, value[1:] != value[:-1]])
     steps = np.add.reduceat(share, steps_at)
@@ -79,9 +94,9 @@ def _slice_curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     before = np.r_[0.0, running[curve_at[1:] - 1]]
     lengths = np.diff(np.r_[curve_at, len(steps)])
     running = running - np.repeat(before, lengths)
-    yield pa.RecordBatch.from_arrays(
+    return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.full(len(curve_at), table.column("_part")[0].as_py()), pa.int32()),
+            pa.array(np.full(len(curve_at), part), pa.int64()),
             pa.array(pair[steps_at][curve_at], pa.int64()),
             pa.array(np.add.reduceat(steps, curve_at)),
             pa.array(np.minimum.reduceat(running, curve_at)),
@@ -187,12 +202,16 @@ def profile_loads(
     return Profile(values, figures, shifts)
 
 
+def number_shown(number: Column) -> Column:
+    return F.when(F.isnan(number), "NaN").when(number.isNotNull(), F.format_string("%.6f", number))
+
+
 def quantiles(values: DataFrame, points: Mapping[str, float]) -> DataFrame:
     """Exact lower quantiles per column, group and load from a profile's ``values``.
 
     The value of ``points[name]`` is the smallest non-blank value whose count,
     together with all smaller ones, reaches that part of the non-blank rows;
-    numbers are given as text.  Columns without values have no row.
+    numbers are given as text with six decimals.  Columns without values have no row.
     """
     key = ["column_name", "_group", "_load"]
     sliced = materialize(
@@ -215,7 +234,7 @@ def quantiles(values: DataFrame, points: Mapping[str, float]) -> DataFrame:
         .join(totals, [F.col("_part") == F.col("_p"), *same])
         .withColumn("_upto", F.col("_offset") + F.col("_local"))
     )
-    shown = F.coalesce(F.col("_number").cast("string"), F.col("_text"))
+    shown = F.coalesce(number_shown(F.col("_number")), F.col("_text"))
     order = F.struct(F.col("_upto"), shown.alias("_shown"))
     picks = [
         F.min(F.when(F.col("_upto") >= F.ceil(F.col("_total") * F.lit(q)), order))["_shown"].alias(name) for name, q in points.items()

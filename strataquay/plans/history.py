@@ -29,6 +29,18 @@ STATES = ("ok", "unavailable", "incomplete", "error", "missing")
 SEVERITIES = ("error", "suspect", "info")
 
 
+def with_departments(catalogue: DataFrame, fresh: DataFrame | None, previous: DataFrame) -> DataFrame:
+    """``catalogue`` with ``department, department_stale``.
+
+    ``fresh`` (theme, ``department``) is what the source of departments gave; where it failed (None), every theme
+    keeps the department of the ``previous`` catalogue, marked stale if it had one.
+    """
+    source = previous if fresh is None else fresh
+    known = source.select(THEME, F.col("department").alias("_department")).where("_department is not null").dropDuplicates([THEME])
+    stale = F.col("_department").isNotNull() if fresh is None else F.lit(False)
+    return catalogue.drop("department").join(known, THEME, "left").withColumns({"department": F.coalesce("_department", F.lit("unknown")), "department_stale": stale}).drop("_department")
+
+
 @dataclass
 class History:
     """The derived tables of all runs; each is built once, when first asked for.
@@ -160,7 +172,8 @@ class History:
             .where(F.col(PREV).isNull() | (F.col("added") + F.col("removed") + F.col("modified") > 0))
         )
         place = F.row_number().over(Window.partitionBy(THEME).orderBy("run_no"))
-        return log.select(THEME, place.alias("version"), RUN, F.coalesce("row_count", F.lit(0)).alias("row_count"), *SEVERITIES, *[F.col(c).cast("double").alias(c) for c in ("added", "removed", "modified")])
+        newest = F.row_number().over(Window.partitionBy(THEME).orderBy(F.desc("run_no")))  # O11
+        return log.select(THEME, place.alias("version"), newest.alias("newest_first"), RUN, F.coalesce("row_count", F.lit(0)).alias("row_count"), *SEVERITIES, *[F.col(c).cast("double").alias(c) for c in ("added", "removed", "modified")])
 
     @cached_property
     def catalogue(self) -> DataFrame:
@@ -189,7 +202,8 @@ class History:
         moves = ["added", "removed", "modified", "dates_only", "findings_added", "findings_resolved", "findings_severity_changed"]
         return materialize(
             out.select(
-                THEME, F.col("thm_theme_name").alias("name"), F.col("thm_theme_type").alias("type"), "status", F.coalesce("department_label", F.lit("unknown")).alias("department"),
+                THEME, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(THEME)).alias("place"),  # O10; one row a theme
+                F.col("thm_theme_name").alias("name"), F.col("thm_theme_type").alias("type"), "status", F.coalesce("department_label", F.lit("unknown")).alias("department"),
                 F.coalesce("row_count", F.when(F.col("run_no").isNotNull(), 0)).cast("double").alias("row_count"), *[F.col(c).cast("double").alias(c) for c in SEVERITIES], "last_success_at", compared.alias("compared"),
                 *[F.when(compared, F.coalesce(m, F.lit(0))).cast("double").alias(m) for m in moves],
             )
@@ -208,10 +222,12 @@ class History:
         met = read.join(self.sizes.withColumnRenamed("row_count", "rows"), [THEME, RUN], "left").join(self.finding_counts, [THEME, RUN], "left").join(self.change_counts.drop(PREV), [THEME, RUN], "left")
         total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
         changed = F.col("added") + F.col("removed") + F.col("modified") > 0
-        return met.groupBy(RUN).agg(
+        effect = self.rules_effect.where("cause = 'rules' and change <> 'unchanged'").groupBy(RUN).agg(F.count(F.lit(1)).cast("double").alias("rules_effect"))
+        totals = met.groupBy(RUN).agg(
             F.count(F.lit(1)).alias("themes_read"), total("rows"), *[total(s) for s in SEVERITIES],
             F.when(F.count(PREV) > 0, F.count_if(changed)).cast("double").alias("themes_changed"), *[F.sum(m).cast("double").alias(m) for m in ("added", "removed", "modified", "dates_only")],
         )
+        return totals.join(effect, RUN, "left")
 
     def guards(self) -> DataFrame:
         """Per run, whether it must stop before anything is written, and why."""

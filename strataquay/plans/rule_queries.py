@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -92,10 +92,20 @@ def severity_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rule_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Findings per rule and run with severities."""
-    return findings(spark, folder).groupBy("run_tag", "rule_id").agg(
+    """Findings per rule and run with severities, and the rule's place: numbers in an id count as numbers."""
+    counted = findings(spark, folder).groupBy("run_tag", "rule_id").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("severity") == s).alias(s) for s in ("error", "suspect", "info")]
     )
+    number = F.regexp_extract("rule_id", "([0-9]+)$", 1).try_cast("int")
+    order = Window.partitionBy("run_tag").orderBy(F.regexp_replace("rule_id", "[0-9]+$", ""), number, "rule_id")  # one row a rule
+    return counted.withColumn("place", F.row_number().over(order))
+
+
+def ordered_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """O1: the place of every finding in its load: by rule, key, group and field."""
+    order = [F.coalesce(F.col(c), F.lit("")) for c in ("rule_id", "conts_key", "group_key", "field", "value")]
+    found = findings(spark, folder)
+    return found.select(*SCOPE, "fingerprint", "message", F.row_number().over(Window.partitionBy(*SCOPE).orderBy(*order)).alias("place"))
 
 
 # --- conventions of single themes, over the whole table --------------------------------------------
@@ -150,12 +160,53 @@ def gap_detection(spark: SparkSession, folder: str) -> DataFrame:
     return filled.where("n is null or n > 1").select("month", "nation", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: F2: themes with rules of their own and the common rules these stand in for.
+THEME_RULES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "90010591": (("T-01", "T-02", "T-03", "T-04"), ("C-12",)),
+    "90011816": (("T-01", "T-04"), ("C-10", "C-12")),
+}
+_OWN_RULES = {"T-01": id_format, "T-02": id_region, "T-03": one_per_region, "T-04": image_owner}
+
+
+def _replacements(spark: SparkSession, theme: str) -> DataFrame:
+    return spark.createDataFrame([(t, r) for t, (_, gone) in THEME_RULES.items() for r in gone], f"{theme} string, rule_id string")
+
+
 def rule_dispatch(spark: SparkSession, folder: str) -> DataFrame:
-    """The rules of every theme; two example themes replace the shared-image rule."""
+    """The rules of every theme: the common ones less the replaced, and its own."""
     themes = table(spark, folder, "themes").select(F.col("cot_theme_id").alias("theme_id"))
-    own = spark.createDataFrame([(r.id, None) for r in R.COMMON_RULES] + [("T-01", "90010591"), ("T-02", "90010591")], "rule_id string, theme_id string")
-    replaced = spark.createDataFrame([("90010591", "C-12"), ("90011816", "C-12")], "theme_id string, rule_id string")
-    return R.rules_for(own, replaced, themes)
+    own = spark.createDataFrame([(r.id, None) for r in R.COMMON_RULES] + [(r, t) for t, (rules, _) in THEME_RULES.items() for r in rules], "rule_id string, theme_id string")
+    return R.rules_for(own, _replacements(spark, "theme_id"), themes)
+
+
+def theme_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """All findings of the themes with own rules, the common rules they replace left out."""
+    own = spark.createDataFrame([(t, r) for t, (rules, _) in THEME_RULES.items() for r in rules], "cot_theme_id string, rule_id string")
+    mine = [f(spark, folder).withColumn("rule_id", F.lit(r)) for r, f in _OWN_RULES.items()]
+    found = mine[0]
+    for more in mine[1:]:
+        found = found.unionByName(more)
+    common = findings(spark, folder).join(_replacements(spark, "cot_theme_id"), ["cot_theme_id", "rule_id"], "left_anti").join(own.select("cot_theme_id").distinct(), "cot_theme_id", "left_semi")
+    columns = [*SCOPE, "rule_id", "severity", "conts_key", "group_key", "field", "value"]
+    return found.join(own, ["cot_theme_id", "rule_id"], "left_semi").select(*columns).unionByName(common.select(*columns))
+
+
+def near_same_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """R9, J4, A6, N1 on another binding: customers of a nation with the same two last letters of the name, metres apart."""
+    name = F.right("c_name", F.lit(2))
+    facts = table(spark, folder, "customer").select(
+        F.lit("all").alias("run_tag"), F.col("c_nationkey").cast("string").alias("cot_theme_id"), F.col("c_custkey").cast("bigint").alias("row_id"), F.col("c_custkey").cast("string").alias("key"),
+        name.alias("norm"), name.alias("name"), F.lit("").alias("category"), (F.lit(127.0) + F.pmod("c_custkey", F.lit(7)) * 0.0001).alias("x"), F.lit(37.0).alias("y"), F.lit("").alias("point_key"),
+    )
+    i = R.RuleInput(facts=facts, rows=facts, regions=facts, scope=SCOPE, row="row_id", content=(), fields={"name": "c_name"})
+    return R.near_same_name(i)
+
+
+def region_extents(spark: SparkSession, folder: str) -> DataFrame:
+    """The box around every polygon's rings."""
+    rings = table(spark, folder, "district_boundaries").select("gu_name", "polygon_no", F.explode(F.flatten("coordinates")).alias("p"))
+    x, y = F.col("p")[0], F.col("p")[1]
+    return rings.groupBy("gu_name", "polygon_no").agg(F.min(x).alias("min_x"), F.min(y).alias("min_y"), F.max(x).alias("max_x"), F.max(y).alias("max_y"))
 
 
 def rule_catalogue(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,7 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: partial(_o
     f.__name__: f
     for f in (
         facts_all, row_keys_all, row_keys_lineitem, dup_id_lineitem, all_findings, severity_counts, rule_counts, id_format, id_region,
-        one_per_region, image_owner, gap_detection, rule_dispatch, rule_catalogue,
+        one_per_region, image_owner, gap_detection, rule_dispatch, rule_catalogue, ordered_findings, theme_findings, near_same_customers, region_extents,
     )
 }
 ORACLE: dict[str, str] = dict(rule_sql.QUERIES)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.phone import DIALABLE, unusable_phone
 from ..functions.text import is_blank
 from ..operators.changes import snapshot_changes
-from ..operators.profile import Profile, ProfiledColumn, cells, profile_loads, quantiles
+from ..operators.profile import Profile, ProfiledColumn, cells, number_shown, profile_loads, quantiles
 from ..operators.proximity import containing_regions, near_pairs
-from ..tables import content_columns, last_run_rows, table, usable_loads
+from ..tables import DELIVERY_COLUMNS, content_columns, last_run_rows, table, usable_loads
 
 #: Bounds of usable coordinates, degrees (fixed values).
 X_BOUNDS, Y_BOUNDS = (124, 132), (33, 39)
@@ -103,11 +103,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Figures, exact quartiles and the shift against the load before for every content column."""
+    """Figures, exact quartiles and the shift against the load before for every column but the two that name the load."""
     rows = _rows_with_code_flag(spark, folder)
     known = {c.name: c for c in foremost_columns()}
     kinds = dict(rows.dtypes)
-    columns = [known.get(c) or ProfiledColumn(c, kinds[c] == "double") for c in content_columns(rows) if c != "cot_theme_id"]
+    names = [c for c in (*content_columns(rows), *DELIVERY_COLUMNS) if c not in ("cot_theme_id", "run_tag")]
+    columns = [known.get(c) or ProfiledColumn(c, kinds[c] != "string") for c in names]
     profile = _profile(spark, folder, rows, columns)
     key = ["column_name", "_group", "_load"]
     shown = profile.loads.join(quantiles(profile.values, {"q25": 0.25, "q50": 0.5, "q75": 0.75}), key, "left").join(
@@ -121,8 +122,8 @@ def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("blank") / F.col("rows")).alias("blank_share"),
         "unusable",
         "distinct_values",
-        F.coalesce(F.col("min_number").cast("string"), "min_text").alias("min_value"),
-        F.coalesce(F.col("max_number").cast("string"), "max_text").alias("max_value"),
+        F.coalesce(number_shown(F.col("min_number")), "min_text").alias("min_value"),
+        F.coalesce(number_shown(F.col("max_number")), "max_text").alias("max_value"),
         "q25",
         "q50",
         "q75",
@@ -273,6 +274,51 @@ SELECT f.column_name, f.cot_theme_id, f.run_tag, f.rows, f.blank, f.unusable, f.
   CASE WHEN p.n IS NULL THEN NULL ELSE round(coalesce(k.ks, 0), 6) END AS ks
 FROM figures f LEFT JOIN pairs p USING (cot_theme_id, run_tag, column_name) LEFT JOIN ks k USING (cot_theme_id, run_tag, column_name)"""
 
+_OTHERS = ["loaded_at", "dist", "rnum", "row_id"]
+
+
+def _long(c: str) -> str:
+    unusable = {
+        "cot_tel_no": f"coalesce(NOT ({_BLANK.format(c=c)}) AND NOT regexp_full_match(regexp_replace(cot_tel_no, '\\s+', ' ', 'g'), '{DIALABLE}'), false)",
+        "cot_coord_x": "coalesce(isnan(cot_coord_x) OR NOT cot_coord_x BETWEEN 124 AND 132, false)", "cot_coord_y": "coalesce(isnan(cot_coord_y) OR NOT cot_coord_y BETWEEN 33 AND 39, false)",
+        "cot_theme_sub_id": f"coalesce(NOT ({_BLANK.format(c=c)}) AND NOT known_code, false)",
+    }.get(c, "false")
+    if c in _OTHERS or c.startswith(("cot_coord_x", "cot_coord_y", "cot_mbr")):
+        number = f"epoch_us({c}) / 1e6" if c == "loaded_at" else f"{c}::DOUBLE"
+        return f"SELECT run_tag, cot_theme_id, '{c}' AS column_name, NULL AS txt, {number} AS num, {unusable} AS unusable FROM flagged"
+    return f"SELECT run_tag, cot_theme_id, '{c}', CASE WHEN {_BLANK.format(c=c)} THEN NULL ELSE {c} END, NULL, {unusable} FROM flagged"
+
+
+_PROFILED = [*_OTHERS, *[c for c in [*_CONTENT, "cot_update_date"] if c != "cot_theme_id"]]
+_NUM_TEXT = "CASE WHEN isnan({n}) THEN 'NaN' ELSE printf('%.6f', {n}) END"
+_P2_PROFILE = f"""WITH {_LOADS}, flagged AS (
+  SELECT s.*, c.cot_theme_sub_id IS NOT NULL AS known_code FROM snapshots s
+  LEFT JOIN (SELECT DISTINCT cot_theme_id, cot_theme_sub_id FROM theme_categories) c USING (cot_theme_id, cot_theme_sub_id)),
+long AS ({' UNION ALL '.join(map(_long, _PROFILED))}),
+vals AS (SELECT run_tag, cot_theme_id, column_name, txt, num, count(*) AS k FROM long GROUP BY ALL),
+figures AS (
+  SELECT column_name, cot_theme_id, run_tag, count(*) AS rows, count(*) FILTER (txt IS NULL AND num IS NULL) AS blank, count(*) FILTER (unusable) AS unusable,
+    min(num) AS low_num, max(num) AS high_num, min(txt) AS low_txt, max(txt) AS high_txt FROM long GROUP BY ALL),
+ranked AS (
+  SELECT run_tag, cot_theme_id, column_name, coalesce({_NUM_TEXT.format(n='num')}, txt) AS shown, sum(k) OVER (PARTITION BY run_tag, cot_theme_id, column_name ORDER BY num, txt) AS upto,
+    sum(k) OVER (PARTITION BY run_tag, cot_theme_id, column_name) AS total FROM vals WHERE txt IS NOT NULL OR num IS NOT NULL),
+picks AS (
+  SELECT run_tag, cot_theme_id, column_name, count(*) AS distinct_values, {', '.join(f"arg_min(shown, upto) FILTER (upto >= ceil(total * {q})) AS {n}" for n, q in (('q25', 0.25), ('q50', 0.5), ('q75', 0.75)))} FROM ranked GROUP BY ALL),
+pairs AS (
+  SELECT p.cot_theme_id, p.run_tag, p.prev_run_tag, b.column_name, b.rows AS n, a.rows AS prev_n FROM loads p JOIN figures b USING (cot_theme_id, run_tag)
+  JOIN figures a ON a.cot_theme_id = p.cot_theme_id AND a.run_tag = p.prev_run_tag AND a.column_name = b.column_name),
+signed AS (
+  SELECT p.cot_theme_id, p.run_tag, p.column_name, num, txt, k / n AS w FROM pairs p JOIN vals USING (cot_theme_id, run_tag, column_name)
+  UNION ALL SELECT p.cot_theme_id, p.run_tag, p.column_name, num, txt, -k / prev_n FROM pairs p
+    JOIN vals v ON v.cot_theme_id = p.cot_theme_id AND v.run_tag = p.prev_run_tag AND v.column_name = p.column_name),
+steps AS (SELECT cot_theme_id, run_tag, column_name, num, txt, sum(w) AS d FROM signed WHERE num IS NOT NULL OR txt IS NOT NULL GROUP BY ALL),
+curve AS (SELECT cot_theme_id, run_tag, column_name, d, sum(d) OVER (PARTITION BY cot_theme_id, run_tag, column_name ORDER BY num, txt) AS c FROM steps),
+shifts AS (SELECT cot_theme_id, run_tag, column_name, max(abs(c)) AS ks, max(abs(d)) AS jump FROM curve GROUP BY ALL)
+SELECT f.column_name, f.cot_theme_id, f.run_tag, f.rows, f.blank / f.rows AS blank_share, f.unusable, coalesce(q.distinct_values, 0) AS distinct_values,
+  coalesce({_NUM_TEXT.format(n='low_num')}, low_txt) AS min_value, coalesce({_NUM_TEXT.format(n='high_num')}, high_txt) AS max_value, q25, q50, q75, p.prev_run_tag,
+  CASE WHEN p.n IS NOT NULL THEN round(coalesce(s.ks, 0), 9) END AS ks, CASE WHEN p.n IS NOT NULL THEN round(coalesce(s.jump, 0), 9) END AS max_jump
+FROM figures f LEFT JOIN picks q USING (cot_theme_id, run_tag, column_name) LEFT JOIN pairs p USING (cot_theme_id, run_tag, column_name) LEFT JOIN shifts s USING (cot_theme_id, run_tag, column_name)"""
+
 _P3_POINTS = """pts AS (
   SELECT row_id, cot_conts_id, cot_coord_x AS x, cot_coord_y AS y, cot_gu_name FROM snapshots
   WHERE run_tag = (SELECT max_by(run_tag, run_no) FROM snapshot_runs) AND cot_coord_x BETWEEN 124 AND 132 AND cot_coord_y BETWEEN 33 AND 39)"""
@@ -298,6 +344,7 @@ ORACLE: dict[str, str] = {
     "p1_found": _P1,
     "p1_change_counts": f"SELECT cot_theme_id, prev_run_tag, run_tag, change_kind, count(*) AS n FROM ({_P1}) GROUP BY ALL",
     "p2_found": _P2,
+    "p2_profile": _P2_PROFILE,
     "p2_column_totals": _P2_TOTALS,
     "p3_found": _P3,
     "p3_district_rows": f"WITH {_P3_POINTS}, {_P3_HELD} SELECT gu_name, count(*) AS n FROM held GROUP BY gu_name",

@@ -8,13 +8,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators.diffs import canonical_text
+from ..operators.diffs import canonical_text, stored_hashes
 from ..tables import content_columns, table
 from . import view_sql
 from .history import PREV, RUN, SEVERITIES, THEME, History
 
 #: Columns by meaning; others keep their raw name.
-LABELS = {"cot_conts_name": "name", "cot_addr_full_new": "road address", "cot_addr_full_old": "lot address", "cot_tel_no": "telephone", "cot_gu_name": "district", "cot_coord_x": "longitude", "cot_coord_y": "latitude", "cot_update_date": "updated"}
+LABELS = {
+    "cot_addr_full_new": "road address", "cot_addr_full_old": "lot address", "cot_conts_id": "id", "cot_conts_lan_type": "language", "cot_conts_name": "name", "cot_conts_stat": "state",
+    "cot_coord_data": "shape", "cot_coord_type": "kind of shape", "cot_coord_x": "longitude", "cot_coord_y": "latitude", "cot_dong_name": "neighbourhood", "cot_extra_data_01": "further data",
+    "cot_extra_name": "further address", "cot_gu_name": "district", "cot_img_main_url": "image", "cot_kw": "key words", "cot_line_color": "line colour", "cot_line_pattern": "line pattern",
+    "cot_line_weight": "line weight", "cot_master_no": "main lot", "cot_mbr_max_x": "eastern edge", "cot_mbr_max_y": "northern edge", "cot_mbr_min_x": "western edge", "cot_mbr_min_y": "southern edge",
+    "cot_nation_base_area": "base area", "cot_nation_point_number": "point number", "cot_reg_date": "registered", "cot_san_name": "mountain lot", "cot_slave_no": "sub lot", "cot_tel_no": "telephone",
+    "cot_theme_id": "theme", "cot_theme_sub_id": "category", "cot_update_date": "updated", "thm_coord_type": "theme shape", "thm_theme_name": "theme name", "thm_theme_type": "theme type",
+}
+
+
+def column_label(column: Column) -> Column:
+    """Numbered detail columns by their number, others by the list, else as they are."""
+    number = F.regexp_extract(column, "^cot_(?:value|name)_([0-9]+)$", 1).try_cast("int").cast("string")
+    listed = F.create_map(*[F.lit(t) for pair in LABELS.items() for t in pair])
+    return (
+        F.when(F.startswith(column, F.lit("cot_value_")) & number.isNotNull(), F.concat(F.lit("detail "), number))
+        .when(F.startswith(column, F.lit("cot_name_")) & number.isNotNull(), F.concat(F.lit("title of detail "), number))
+        .otherwise(F.coalesce(F.try_element_at(listed, column), column))
+    )
 
 
 def snapshot_hash(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +40,14 @@ def snapshot_hash(spark: SparkSession, folder: str) -> DataFrame:
     return History(spark, folder).hashes
 
 
+def stored_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """The hash under which a usable load's text columns are stored as JSON."""
+    h = History(spark, folder)
+    rows = table(spark, folder, "snapshots").join(h.ok_loads.select(THEME, RUN), [THEME, RUN], "left_semi")
+    texts = [c for c, kind in rows.dtypes if c in h.columns and kind == "string"]
+    return stored_hashes(rows, scope=(RUN, THEME), columns=texts, id_column="cot_conts_id")
+
+
 def snapshot_added(spark: SparkSession, folder: str) -> DataFrame:
     """J6"""
     return History(spark, folder).changes.where("change = 'added'").drop("change")
@@ -119,13 +145,31 @@ def themes_with_severity(spark: SparkSession, folder: str) -> DataFrame:
     return History(spark, folder).catalogue.where("status = 'ok' and error is not null").agg(*[F.count_if(F.col(s) > 0).alias(s) for s in SEVERITIES])
 
 
+def _grouped(name: str) -> Column:
+    return S.grouped_number(F.col(name).cast("bigint"))
+
+
+def row_change_text() -> Column:
+    """What became of rows; new dates only where there are some."""
+    dates = F.when(F.col("dates_only") > 0, F.concat(F.lit(", dates only "), _grouped("dates_only"))).otherwise("")
+    return F.concat(F.lit("added "), _grouped("added"), F.lit(", removed "), _grouped("removed"), F.lit(", modified "), _grouped("modified"), dates)
+
+
+def finding_change_text() -> Column:
+    """What became of findings."""
+    return F.concat(F.lit("new "), _grouped("findings_added"), F.lit(", resolved "), _grouped("findings_resolved"), F.lit(", regraded "), _grouped("findings_severity_changed"))
+
+
 def changed_themes(spark: SparkSession, folder: str) -> DataFrame:
     """Themes whose rows or findings changed, and those with new dates only."""
     rows = F.col("added") + F.col("removed") + F.col("modified")
     found = F.col("findings_added") + F.col("findings_resolved") + F.col("findings_severity_changed")
     listed = History(spark, folder).catalogue.where("compared").withColumns({"row_changes": rows, "finding_changes": found})
     kind = F.when((F.col("row_changes") > 0) | (F.col("finding_changes") > 0), "changed").when(F.col("dates_only") > 0, "dates_only")
-    return listed.withColumn("kind", kind).where("kind is not null").select(THEME, "name", "kind", "row_changes", "finding_changes", "dates_only")
+    order = Window.partitionBy("kind").orderBy(F.desc_nulls_first("row_changes"), F.desc_nulls_first("finding_changes"), "name", THEME)  # one row a theme
+    return listed.withColumn("kind", kind).where("kind is not null").select(
+        THEME, "name", "kind", "row_changes", "finding_changes", "dates_only", row_change_text().alias("row_text"), finding_change_text().alias("finding_text"), F.row_number().over(order).alias("place")
+    )
 
 
 def department_rollup(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,17 +182,60 @@ def department_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return grouped.withColumn("place", F.row_number().over(order))
 
 
+#: Departments on the first page, hits of a search.
+TOP_DEPARTMENTS, MOST_HITS = 10, 30
+
+
+def top_departments(spark: SparkSession, folder: str) -> DataFrame:
+    """The first ten departments and the length of each one's bar against the longest, in per cent."""
+    ranked = department_rollup(spark, folder)
+    longest = ranked.agg(F.greatest(F.lit(1), F.max("error")).alias("longest"))
+    return ranked.where(F.col("place") <= TOP_DEPARTMENTS).join(longest).select("department", "place", "error", F.round(100 * F.col("error") / F.col("longest"), 6).alias("bar"))
+
+
+def _by_trouble() -> list[Column]:
+    """O3: errors, then suspects, unknown last; names in Korean order (Hangul before Latin)."""
+    return [F.desc(F.coalesce("error", F.lit(-1))), F.desc(F.coalesce("suspect", F.lit(-1))), F.collate("name", "ko"), F.col(THEME)]
+
+
+def home_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """V1: what the first page says of the whole collection."""
+    return History(spark, folder).catalogue.agg(
+        F.count(F.lit(1)).alias("themes"), F.count_if(F.col("status") == "ok").alias("readable"), F.sum("row_count").cast("bigint").alias("rows"),
+        *[F.sum(s).cast("bigint").alias(s) for s in SEVERITIES], F.count_if(F.col("added") + F.col("removed") + F.col("modified") > 0).alias("changed"),
+    )
+
+
+def run_log(spark: SparkSession, folder: str) -> DataFrame:
+    """A line a run for the log."""
+    h = History(spark, folder)
+    met = h.run_totals().join(h.status_counts().select(RUN, "themes"), RUN)
+    parts = [_grouped("themes_read"), F.lit(" of "), _grouped("themes"), F.lit(" themes, "), _grouped("rows"), F.lit(" rows, "), *[x for s in SEVERITIES for x in (_grouped(s), F.lit(f" {s}, "))]]
+    changed = F.when(F.col("themes_changed").isNull(), "nothing compared").otherwise(F.concat(_grouped("themes_changed"), F.lit(" themes changed")))
+    return met.select(RUN, F.concat(F.col(RUN), F.lit(": "), *parts, changed).alias("line"))
+
+
+def version_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every two versions of a theme, named in either order, as the older and the newer one."""
+    log = History(spark, folder).versions.select(THEME, "version", RUN)
+    named = log.select(THEME, F.struct("version", RUN).alias("_one")).join(log.select(THEME, F.struct("version", RUN).alias("_two")), THEME).where("_one.version <> _two.version")
+    return named.select(THEME, F.least("_one", "_two").alias("_older"), F.greatest("_one", "_two").alias("_newer")).distinct().select(
+        THEME, F.col(f"_older.{RUN}").alias("older"), F.col(f"_newer.{RUN}").alias("newer")
+    )
+
+
 def department_page(spark: SparkSession, folder: str) -> DataFrame:
     """V3, O3: the themes of every department by errors and suspects."""
-    order = Window.partitionBy("department").orderBy(F.desc(F.coalesce("error", F.lit(-1))), F.desc(F.coalesce("suspect", F.lit(-1))), "name", THEME)
+    order = Window.partitionBy("department").orderBy(*_by_trouble())
     return History(spark, folder).catalogue.select("department", THEME, "name", "error", "suspect", F.row_number().over(order).alias("place"))
 
 
 def theme_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Themes whose name or department holds the words, white space and case aside."""
+    """Themes whose name or department holds the words, white space and case aside; the first 30 by trouble."""
     needle = S.compact(F.lit(" 행정 지원"))
     hit = F.contains(S.compact(F.col("name")), needle) | F.contains(S.compact(F.col("department")), needle) | F.contains(S.compact(F.col("name")), S.compact(F.lit("쉼 터")))
-    return History(spark, folder).catalogue.where(hit).select(THEME, "name", "department")
+    placed = History(spark, folder).catalogue.where(hit).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*_by_trouble())))  # one row a theme
+    return placed.where(F.col("place") <= MOST_HITS).select(THEME, "name", "department", "place")
 
 
 def new_findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,15 +268,18 @@ def compare_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Changed fields with column labels and the row's name, the later one preferred."""
     h = History(spark, folder)
     names = h.rows.select(THEME, RUN, "key", "name")
-    labels = spark.createDataFrame(list(LABELS.items()), "column string, label string")
     return (
         h.fields.join(names.withColumnRenamed("name", "_after"), [THEME, RUN, "key"], "left")
         .join(names.select(THEME, F.col(RUN).alias(PREV), "key", F.col("name").alias("_before")), [THEME, PREV, "key"], "left")
-        .join(labels, "column", "left")
-        .select(THEME, PREV, RUN, "key", F.coalesce("label", "column").alias("label"), F.coalesce("_after", "_before").alias("name"), "before", "after")
+        .select(THEME, PREV, RUN, "key", column_label(F.col("column")).alias("label"), F.coalesce("_after", "_before").alias("name"), "before", "after")
     )
 
 
+def display_value(canonical: Column) -> Column:
+    """Canonical text as people read it: no zeros that only fill decimals."""
+    return F.when(F.rlike(canonical, F.lit(r"^-?[0-9]+\.[0-9]+$")), F.regexp_replace(canonical, r"\.?0+$", "")).otherwise(canonical)
+
+
 def row_detail(spark: SparkSession, folder: str) -> DataFrame:
     """The filled fields of every row that has an error, with how they are shown."""
     h = History(spark, folder)
@@ -197,7 +287,9 @@ def row_detail(spark: SparkSession, folder: str) -> DataFrame:
     hit = h.findings.where("severity = 'error' and conts_key is not null").select(THEME, RUN, F.col("conts_key").alias("key")).distinct()
     values = F.map_from_arrays(F.array(*[F.lit(c) for c in h.columns]), F.array(*[canonical_text(c, kinds[c]) for c in h.columns]))
     shown = h.keyed(hit).select(THEME, RUN, "key", F.explode(values).alias("column", "value"))
-    return shown.where("value <> '\x00' and trim(value) <> ''")
+    filled = shown.where("value <> '\x00' and trim(value) <> ''")
+    number = F.col("column").isin(*[c for c in h.columns if kinds[c] == "double"])
+    return filled.withColumn("value", F.when(number, display_value(F.col("value"))).otherwise(F.col("value"))).withColumn("label", column_label(F.col("column")))
 
 
 def mode_title(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,7 +350,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         snapshot_hash, snapshot_added, snapshot_removed, snapshot_modified, timestamp_only, diff_counts, finding_diff, severity_changed, unchanged_count,
         rules_effect_split, version_log, last_version, catalog_merge, status_counts, run_totals, guards, theme_health, themes_with_severity, changed_themes,
         department_rollup, department_page, theme_search, new_findings, finding_filter, paged_findings, compare_versions, row_detail, mode_title, public_filter,
-        run_stamps, json_scalars, format_texts, url_scalars, number_scalars,
+        run_stamps, json_scalars, format_texts, url_scalars, number_scalars, stored_hash, top_departments, home_totals, run_log, version_pairs,
     )
 }
 ORACLE: dict[str, str] = dict(view_sql.QUERIES)

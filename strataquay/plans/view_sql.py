@@ -70,14 +70,14 @@ finding_counts AS (
   FROM ok_loads o LEFT JOIN good_findings USING (cot_theme_id, run_tag) GROUP BY ALL),
 sizes AS (SELECT cot_theme_id, run_tag, count(*) AS row_count FROM snapshots GROUP BY ALL),
 versions AS (
-  SELECT cot_theme_id, row_number() OVER (PARTITION BY cot_theme_id ORDER BY run_no) AS version, run_tag, coalesce(row_count, 0) AS row_count, error, suspect, info, added::DOUBLE AS added, removed::DOUBLE AS removed, modified::DOUBLE AS modified
+  SELECT cot_theme_id, row_number() OVER (PARTITION BY cot_theme_id ORDER BY run_no) AS version, row_number() OVER (PARTITION BY cot_theme_id ORDER BY run_no DESC) AS newest_first, run_tag, coalesce(row_count, 0) AS row_count, error, suspect, info, added::DOUBLE AS added, removed::DOUBLE AS removed, modified::DOUBLE AS modified
   FROM ok_loads LEFT JOIN sizes USING (cot_theme_id, run_tag) LEFT JOIN finding_counts USING (cot_theme_id, run_tag)
   LEFT JOIN (SELECT * EXCLUDE prev_run_tag FROM change_counts) USING (cot_theme_id, run_tag) WHERE prev_run_tag IS NULL OR added + removed + modified > 0),
 moves AS (
   SELECT cot_theme_id, prev_run_tag, run_tag, count(*) FILTER (change = 'added') AS findings_added, count(*) FILTER (change = 'resolved') AS findings_resolved,
     count(*) FILTER (change = 'severity_changed') AS findings_severity_changed FROM finding_diff GROUP BY ALL),
 catalogue AS (
-  SELECT t.cot_theme_id, t.thm_theme_name AS name, t.thm_theme_type AS type, coalesce(s.status, 'missing') AS status, coalesce(department_label, 'unknown') AS department,
+  SELECT t.cot_theme_id, row_number() OVER (ORDER BY t.cot_theme_id) AS place, t.thm_theme_name AS name, t.thm_theme_type AS type, coalesce(s.status, 'missing') AS status, coalesce(department_label, 'unknown') AS department,
     coalesce(z.row_count, CASE WHEN g.run_no IS NOT NULL THEN 0 END)::DOUBLE AS row_count, error::DOUBLE AS error, suspect::DOUBLE AS suspect, info::DOUBLE AS info, strftime(r.started_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS last_success_at,
     coalesce(s.status, 'missing') = 'ok' AND g.prev_run_tag IS NOT NULL AS compared,
     {', '.join(f"CASE WHEN coalesce(s.status, 'missing') = 'ok' AND g.prev_run_tag IS NOT NULL THEN coalesce({m}, 0) END::DOUBLE AS {m}" for m in ('added', 'removed', 'modified', 'dates_only', 'findings_added', 'findings_resolved', 'findings_severity_changed'))}
@@ -92,13 +92,41 @@ _STATUS = """status_counts AS (
   SELECT r.run_tag, r.run_no, count(*) AS themes, count(*) FILTER (coalesce(load_status, 'missing') = 'ok') AS ok, count(*) FILTER (load_status = 'unavailable') AS unavailable,
     count(*) FILTER (load_status = 'incomplete') AS incomplete, count(*) FILTER (load_status = 'error') AS error, count(*) FILTER (coalesce(load_status, 'missing') = 'missing') AS missing
   FROM snapshot_runs r CROSS JOIN themes t LEFT JOIN theme_loads l ON l.run_tag = r.run_tag AND l.cot_theme_id = t.cot_theme_id GROUP BY ALL)"""
-_LABELS = "CASE \"column\" WHEN 'cot_conts_name' THEN 'name' WHEN 'cot_addr_full_new' THEN 'road address' WHEN 'cot_addr_full_old' THEN 'lot address' WHEN 'cot_tel_no' THEN 'telephone' WHEN 'cot_gu_name' THEN 'district' WHEN 'cot_coord_x' THEN 'longitude' WHEN 'cot_coord_y' THEN 'latitude' WHEN 'cot_update_date' THEN 'updated' ELSE \"column\" END"
+_LABELS = """CASE WHEN "column" LIKE 'cot_value_%' THEN 'detail ' || right("column", 2)::INT WHEN "column" LIKE 'cot_name_%' THEN 'title of detail ' || right("column", 2)::INT ELSE CASE "column"
+  WHEN 'cot_addr_full_new' THEN 'road address' WHEN 'cot_addr_full_old' THEN 'lot address' WHEN 'cot_conts_id' THEN 'id' WHEN 'cot_conts_lan_type' THEN 'language' WHEN 'cot_conts_name' THEN 'name'
+  WHEN 'cot_conts_stat' THEN 'state' WHEN 'cot_coord_data' THEN 'shape' WHEN 'cot_coord_type' THEN 'kind of shape' WHEN 'cot_coord_x' THEN 'longitude' WHEN 'cot_coord_y' THEN 'latitude'
+  WHEN 'cot_dong_name' THEN 'neighbourhood' WHEN 'cot_extra_data_01' THEN 'further data' WHEN 'cot_extra_name' THEN 'further address' WHEN 'cot_gu_name' THEN 'district' WHEN 'cot_img_main_url' THEN 'image'
+  WHEN 'cot_kw' THEN 'key words' WHEN 'cot_line_color' THEN 'line colour' WHEN 'cot_line_pattern' THEN 'line pattern' WHEN 'cot_line_weight' THEN 'line weight' WHEN 'cot_master_no' THEN 'main lot'
+  WHEN 'cot_mbr_max_x' THEN 'eastern edge' WHEN 'cot_mbr_max_y' THEN 'northern edge' WHEN 'cot_mbr_min_x' THEN 'western edge' WHEN 'cot_mbr_min_y' THEN 'southern edge' WHEN 'cot_nation_base_area' THEN 'base area'
+  WHEN 'cot_nation_point_number' THEN 'point number' WHEN 'cot_reg_date' THEN 'registered' WHEN 'cot_san_name' THEN 'mountain lot' WHEN 'cot_slave_no' THEN 'sub lot' WHEN 'cot_tel_no' THEN 'telephone'
+  WHEN 'cot_theme_id' THEN 'theme' WHEN 'cot_theme_sub_id' THEN 'category' WHEN 'cot_update_date' THEN 'updated' WHEN 'thm_coord_type' THEN 'theme shape' WHEN 'thm_theme_name' THEN 'theme name'
+  WHEN 'thm_theme_type' THEN 'theme type' ELSE "column" END END"""
+_KO = "coalesce(error, -1) DESC, coalesce(suspect, -1) DESC, CASE WHEN regexp_matches(name, '^[가-힣]') THEN 0 ELSE 1 END, name, cot_theme_id"
+_ROLLUP = f"""SELECT *, row_number() OVER (ORDER BY department = 'unknown', error DESC, suspect DESC, department) AS place FROM (
+      SELECT department, count(*) AS themes, count(*) FILTER (status = 'ok') AS checked, {', '.join(f'coalesce(sum({m}), 0)::BIGINT AS {m}' for m in ('error', 'suspect', 'info', 'findings_added', 'findings_resolved'))} FROM catalogue GROUP BY department)"""
+_grouped = lambda c: f"format('{{:,}}', ({c})::BIGINT)"
+_EFFECT = """jumps AS (
+      SELECT p.* FROM pairs p JOIN snapshot_runs a ON a.run_tag = p.run_tag JOIN snapshot_runs b ON b.run_tag = p.prev_run_tag WHERE a.ruleset_version <> b.ruleset_version),
+    effects AS (
+      SELECT j.cot_theme_id, j.prev_run_tag, j.run_tag, fingerprint, CASE WHEN o.ruleset_version < n.ruleset_version THEN 'added' ELSE 'resolved' END AS change, severity FROM jumps j
+      JOIN gravest g ON g.cot_theme_id = j.cot_theme_id AND g.run_tag = j.prev_run_tag JOIN snapshot_runs o ON o.run_tag = j.prev_run_tag JOIN snapshot_runs n ON n.run_tag = j.run_tag
+      JOIN (VALUES ('C-09', 2), ('C-12', 2)) AS v(rule_id, since) ON v.rule_id = g.rule_id
+      WHERE (o.ruleset_version >= since) <> (n.ruleset_version >= since))"""
+_TOTALS = """totals AS (SELECT run_tag, count(*) AS themes_read, coalesce(sum(row_count), 0)::BIGINT AS rows, coalesce(sum(error), 0)::BIGINT AS error,
+      coalesce(sum(suspect), 0)::BIGINT AS suspect, coalesce(sum(info), 0)::BIGINT AS info, CASE WHEN count(prev_run_tag) > 0 THEN count(*) FILTER (added + removed + modified > 0) END::DOUBLE AS themes_changed,
+      sum(added)::DOUBLE AS added, sum(removed)::DOUBLE AS removed, sum(modified)::DOUBLE AS modified, sum(dates_only)::DOUBLE AS dates_only
+      FROM ok_loads LEFT JOIN sizes USING (cot_theme_id, run_tag) LEFT JOIN finding_counts USING (cot_theme_id, run_tag)
+      LEFT JOIN (SELECT * EXCLUDE prev_run_tag FROM change_counts) USING (cot_theme_id, run_tag) GROUP BY run_tag)"""
 
 
 def _compact(c: str) -> str:
     return rf"regexp_replace(lower(coalesce({c}, '')), '[\s\x{{00A0}}\x{{FEFF}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]', '', 'g')"
 
 
+def _shown(c: str) -> str:
+    return rf"CASE WHEN regexp_matches(v_{c}, '^-?[0-9]+\.[0-9]+$') THEN regexp_replace(v_{c}, '\.?0+$', '') ELSE v_{c} END" if c in _NUMBERS else f"v_{c}"
+
+
 _NUMBER = r"'^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$'"
 _SORT = "coalesce(rule_id, ''), coalesce(conts_key, ''), coalesce(group_key, ''), coalesce(field, ''), coalesce(value, '')"
 QUERIES: dict[str, str] = {
@@ -112,33 +140,41 @@ QUERIES: dict[str, str] = {
     "severity_changed": f"WITH RECURSIVE {_GOOD} SELECT * FROM finding_diff WHERE change = 'severity_changed'",
     "unchanged_count": f"""WITH RECURSIVE {_GOOD} SELECT cot_theme_id, prev_run_tag, run_tag,
       count(*) FILTER (severity_after IS NOT NULL) - count(*) FILTER (change = 'added') - count(*) FILTER (change = 'severity_changed') AS unchanged FROM finding_diff GROUP BY ALL""",
-    "rules_effect_split": f"""WITH RECURSIVE {_GOOD}, jumps AS (
-      SELECT p.* FROM pairs p JOIN snapshot_runs a ON a.run_tag = p.run_tag JOIN snapshot_runs b ON b.run_tag = p.prev_run_tag WHERE a.ruleset_version <> b.ruleset_version)
+    "rules_effect_split": f"""WITH RECURSIVE {_GOOD}, {_EFFECT},
+      unfit AS (SELECT j.cot_theme_id, j.prev_run_tag, j.run_tag, v.rule_id FROM jumps j JOIN snapshot_runs n ON n.run_tag = j.run_tag, (VALUES ('C-09', 2), ('C-12', 2)) AS v(rule_id, since) WHERE ruleset_version < since)
       SELECT d.*, 'data' AS cause FROM finding_diff d JOIN jumps USING (cot_theme_id, prev_run_tag, run_tag) WHERE change <> 'unchanged'
-      UNION ALL SELECT j.cot_theme_id, j.prev_run_tag, j.run_tag, fingerprint, 'added', NULL, severity, 'rules' FROM jumps j
-      JOIN gravest g ON g.cot_theme_id = j.cot_theme_id AND g.run_tag = j.prev_run_tag WHERE rule_id IN ('C-09', 'C-12')""",
+        AND NOT EXISTS (SELECT 1 FROM unfit u WHERE u.cot_theme_id = d.cot_theme_id AND u.run_tag = d.run_tag AND u.prev_run_tag = d.prev_run_tag AND d.fingerprint LIKE u.rule_id || '|%')
+      UNION ALL SELECT cot_theme_id, prev_run_tag, run_tag, fingerprint, change, CASE change WHEN 'resolved' THEN severity END, CASE change WHEN 'added' THEN severity END, 'rules' FROM effects""",
     "version_log": f"WITH RECURSIVE {_GOOD} SELECT * FROM versions",
     "last_version": f"WITH RECURSIVE {_GOOD} SELECT cot_theme_id, max(version) AS versions, max_by(run_tag, version) AS run_tag, max_by(row_count, version) AS row_count FROM versions GROUP BY ALL",
     "catalog_merge": f"WITH RECURSIVE {_GOOD} SELECT * FROM catalogue",
     "status_counts": f"WITH {_STATUS} SELECT * EXCLUDE run_no FROM status_counts",
-    "run_totals": f"""WITH RECURSIVE {_GOOD} SELECT run_tag, count(*) AS themes_read, coalesce(sum(row_count), 0)::BIGINT AS rows, coalesce(sum(error), 0)::BIGINT AS error,
-      coalesce(sum(suspect), 0)::BIGINT AS suspect, coalesce(sum(info), 0)::BIGINT AS info, CASE WHEN count(prev_run_tag) > 0 THEN count(*) FILTER (added + removed + modified > 0) END::DOUBLE AS themes_changed,
-      sum(added)::DOUBLE AS added, sum(removed)::DOUBLE AS removed, sum(modified)::DOUBLE AS modified, sum(dates_only)::DOUBLE AS dates_only
-      FROM ok_loads LEFT JOIN sizes USING (cot_theme_id, run_tag) LEFT JOIN finding_counts USING (cot_theme_id, run_tag)
-      LEFT JOIN (SELECT * EXCLUDE prev_run_tag FROM change_counts) USING (cot_theme_id, run_tag) GROUP BY run_tag""",
+    "run_totals": f"WITH RECURSIVE {_GOOD}, {_EFFECT}, {_TOTALS} SELECT t.*, e.n::DOUBLE AS rules_effect FROM totals t LEFT JOIN (SELECT run_tag, count(*) AS n FROM effects GROUP BY ALL) e USING (run_tag)",
+    "run_log": f"""WITH RECURSIVE {_GOOD}, {_TOTALS}, {_STATUS} SELECT t.run_tag, t.run_tag || ': ' || {_grouped('themes_read')} || ' of ' || {_grouped('themes')} || ' themes, ' || {_grouped('rows')} || ' rows, '
+      || {_grouped('t.error')} || ' error, ' || {_grouped('suspect')} || ' suspect, ' || {_grouped('info')} || ' info, '
+      || CASE WHEN themes_changed IS NULL THEN 'nothing compared' ELSE {_grouped('themes_changed')} || ' themes changed' END AS line FROM totals t JOIN status_counts USING (run_tag)""",
+    "home_totals": f"""WITH RECURSIVE {_GOOD} SELECT count(*) AS themes, count(*) FILTER (status = 'ok') AS readable, sum(row_count)::BIGINT AS rows, sum(error)::BIGINT AS error, sum(suspect)::BIGINT AS suspect,
+      sum(info)::BIGINT AS info, count(*) FILTER (added + removed + modified > 0) AS changed FROM catalogue""",
+    "top_departments": f"WITH RECURSIVE {_GOOD}, listed AS ({_ROLLUP}) SELECT department, place, error, round(100 * error / (SELECT greatest(1, max(error)) FROM listed), 6) AS bar FROM listed ORDER BY place LIMIT 10",
+    "version_pairs": f"WITH RECURSIVE {_GOOD} SELECT a.cot_theme_id, a.run_tag AS older, b.run_tag AS newer FROM versions a JOIN versions b ON b.cot_theme_id = a.cot_theme_id AND b.version > a.version",
+    "stored_hash": f"""WITH {_OK}, texts AS (SELECT run_tag, cot_theme_id, coalesce(cot_conts_id, '') AS id, to_json([{', '.join(c for c in COLUMNS if c not in _NUMBERS)}])::VARCHAR AS line FROM snapshots JOIN ok_loads USING (run_tag, cot_theme_id))
+      SELECT run_tag, cot_theme_id, count(*) AS rows, sha256('{{"columns":[{','.join(f'"{c}"' for c in COLUMNS if c not in _NUMBERS)}],"rows":[' || string_agg(line, ',' ORDER BY id, line) || ']}}') AS stored_hash FROM texts GROUP BY ALL""",
     "guards": f"""WITH {_STATUS}, p AS (SELECT *, themes - missing AS public, lag(themes - missing) OVER (ORDER BY run_no)::DOUBLE AS public_before FROM status_counts)
       SELECT run_tag, public, public_before, round((error + incomplete) / nullif(public, 0), 9) AS failed_share, CASE WHEN public = 0 THEN 'no themes'
         WHEN public_before IS NOT NULL AND public < public_before * 0.8 THEN 'too few themes' WHEN (error + incomplete) / nullif(public, 0) > 0.3 THEN 'too many failures' END AS stop FROM p""",
     "theme_health": f"WITH RECURSIVE {_GOOD} SELECT health, count(cot_theme_id) AS themes FROM (SELECT unnest(['error', 'suspect', 'info', 'clean', 'unchecked']) AS health) LEFT JOIN (SELECT *, {_HEALTH} AS health FROM catalogue) USING (health) GROUP BY ALL",
     "themes_with_severity": f"WITH RECURSIVE {_GOOD} SELECT {', '.join(f'count(*) FILTER ({s} > 0) AS {s}' for s in ('error', 'suspect', 'info'))} FROM catalogue WHERE status = 'ok' AND error IS NOT NULL",
     "changed_themes": f"""WITH RECURSIVE {_GOOD} SELECT cot_theme_id, name, CASE WHEN added + removed + modified > 0 OR findings_added + findings_resolved + findings_severity_changed > 0 THEN 'changed' ELSE 'dates_only' END AS kind,
-      added + removed + modified AS row_changes, findings_added + findings_resolved + findings_severity_changed AS finding_changes, dates_only FROM catalogue
+      added + removed + modified AS row_changes, findings_added + findings_resolved + findings_severity_changed AS finding_changes, dates_only,
+      'added ' || {_grouped('added')} || ', removed ' || {_grouped('removed')} || ', modified ' || {_grouped('modified')} || CASE WHEN dates_only > 0 THEN ', dates only ' || {_grouped('dates_only')} ELSE '' END AS row_text,
+      'new ' || {_grouped('findings_added')} || ', resolved ' || {_grouped('findings_resolved')} || ', regraded ' || {_grouped('findings_severity_changed')} AS finding_text,
+      row_number() OVER (PARTITION BY CASE WHEN added + removed + modified > 0 OR findings_added + findings_resolved + findings_severity_changed > 0 THEN 'changed' ELSE 'dates_only' END
+        ORDER BY added + removed + modified DESC NULLS FIRST, findings_added + findings_resolved + findings_severity_changed DESC NULLS FIRST, name, cot_theme_id) AS place FROM catalogue
       WHERE compared AND (added + removed + modified > 0 OR findings_added + findings_resolved + findings_severity_changed > 0 OR dates_only > 0)""",
-    "department_rollup": f"""WITH RECURSIVE {_GOOD} SELECT *, row_number() OVER (ORDER BY department = 'unknown', error DESC, suspect DESC, department) AS place FROM (
-      SELECT department, count(*) AS themes, count(*) FILTER (status = 'ok') AS checked, {', '.join(f'coalesce(sum({m}), 0)::BIGINT AS {m}' for m in ('error', 'suspect', 'info', 'findings_added', 'findings_resolved'))} FROM catalogue GROUP BY department)""",
+    "department_rollup": f"WITH RECURSIVE {_GOOD} {_ROLLUP}",
     "department_page": f"""WITH RECURSIVE {_GOOD} SELECT department, cot_theme_id, name, error, suspect,
-      row_number() OVER (PARTITION BY department ORDER BY coalesce(error, -1) DESC, coalesce(suspect, -1) DESC, name, cot_theme_id) AS place FROM catalogue""",
-    "theme_search": f"WITH RECURSIVE {_GOOD} SELECT cot_theme_id, name, department FROM catalogue WHERE contains({_compact('name')}, '행정지원') OR contains({_compact('department')}, '행정지원') OR contains({_compact('name')}, '쉼터')",
+      row_number() OVER (PARTITION BY department ORDER BY {_KO}) AS place FROM catalogue""",
+    "theme_search": f"WITH RECURSIVE {_GOOD} SELECT cot_theme_id, name, department, row_number() OVER (ORDER BY {_KO}) AS place FROM catalogue WHERE contains({_compact('name')}, '행정지원') OR contains({_compact('department')}, '행정지원') OR contains({_compact('name')}, '쉼터') ORDER BY place LIMIT 30",
     "new_findings": f"WITH RECURSIVE {_GOOD} SELECT cot_theme_id, run_tag, rule_id, severity, conts_key, fingerprint FROM good_findings SEMI JOIN (SELECT * FROM finding_diff WHERE change = 'added') USING (cot_theme_id, run_tag, fingerprint)",
     "finding_filter": f"""WITH RECURSIVE {_GOOD} SELECT cot_theme_id, run_tag, rule_id, conts_key, group_key, name FROM good_findings WHERE rule_id IN ('C-08', 'C-10') AND severity = 'suspect'
       AND (contains({_compact('name')}, '동물') OR contains({_compact('conts_key')}, '동물') OR contains({_compact('value')}, '동물'))""",
@@ -150,7 +186,7 @@ QUERIES: dict[str, str] = {
       LEFT JOIN row_names b ON b.cot_theme_id = f.cot_theme_id AND b.run_tag = f.prev_run_tag AND b.key = f.key""",
     "row_detail": f"""WITH RECURSIVE {_GOOD}, hit AS (SELECT DISTINCT cot_theme_id, run_tag, conts_key AS key FROM good_findings WHERE severity = 'error' AND conts_key IS NOT NULL),
       shown AS (SELECT k.* FROM r_keyed k SEMI JOIN hit USING (cot_theme_id, run_tag, key))
-      SELECT * FROM ({' UNION ALL '.join(f"SELECT cot_theme_id, run_tag, key, '{c}' AS column, v_{c} AS value FROM shown".replace(' AS column', ' AS "column"') for c in COLUMNS)}) WHERE value <> chr(0) AND trim(value, ' ') <> ''""",
+      SELECT *, {_LABELS} AS label FROM ({' UNION ALL '.join(f"SELECT cot_theme_id, run_tag, key, '{c}' AS column, {_shown(c)} AS value FROM shown".replace(' AS column', ' AS "column"') for c in COLUMNS)}) WHERE value <> chr(0) AND trim(value, ' ') <> ''""",
     "mode_title": """SELECT cot_theme_id, "column", title AS label FROM (SELECT cot_theme_id, "column", title, count(*) AS n FROM (
         SELECT cot_theme_id, 'cot_value_01' AS "column", cot_name_01 AS title FROM snapshots UNION ALL SELECT cot_theme_id, 'cot_value_03', cot_name_03 FROM snapshots) WHERE trim(title, ' ') <> '' GROUP BY ALL)
       QUALIFY row_number() OVER (PARTITION BY cot_theme_id, "column" ORDER BY n DESC, title) = 1""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
@@ -43,6 +44,55 @@ def retrying(get: Getter, *, retries: int = 3, first_wait: float = 1.0, sleep: C
     return wrapped
 
 
+#: The kinds of themes that a list is asked for.
+THEME_TYPES = ("1", "2", "4", "5")
+
+
+def fetch_theme_list(get: Getter, *, types: tuple[str, ...] = THEME_TYPES, page_size: int = PAGE_SIZE) -> list[dict]:
+    """The entries of all pages of every kind of theme, in order.
+
+    A kind ends with an empty page or the last page the header counts.  An answer other than 200 or one
+    without a list raises; the message has the server's words and never the parameters.
+    """
+    found: list[dict] = []
+    for kind in types:
+        page, last = 1, None
+        while last is None or page <= last:
+            status, body = get({"type": kind, "page": str(page), "size": str(page_size)})
+            try:
+                said = json.loads(body)
+            except ValueError:
+                said = {}
+            head = (said.get("header") or said.get("head") or {}) if isinstance(said, dict) else {}
+            items = said.get("body") if isinstance(said, dict) else None
+            if status != 200 or not isinstance(items, list):
+                raise RuntimeError(f"the list of themes could not be read: {head.get('resultMsg') or head.get('RETMSG') or status}")
+            if not items:
+                break
+            found += items
+            count, total, size = (int(head.get(n) or 0) for n in ("PAGE_COUNT", "TOTAL_COUNT", "PAGE_SIZE"))
+            last = count or (max(1, -(-total // size)) if total and size else page if len(items) < page_size else None)
+            page += 1
+    return found
+
+
+def fetch_departments(read: Callable[[str], str], post: Callable[[str, dict[str, str]], str], *, script: str, form: str) -> list[dict]:
+    """The entries of the department list, whose form wants the key that ``script`` holds.
+
+    The key is the script's text of 32 hexadecimal digits in quotes.  A missing key or an answer without a list raises.
+    """
+    key = re.search("[\"']([0-9a-f]{32})[\"']", read(script))
+    if key is None:
+        raise RuntimeError("the department list's key was not found")
+    try:
+        items = json.loads(post(form, {"key": key[1]})).get("body")
+    except (ValueError, AttributeError):
+        items = None
+    if not isinstance(items, list):
+        raise RuntimeError("the department list could not be read")
+    return items
+
+
 # --- S9: envelopes as columns -------------------------------------------------------------------
 
 
@@ -127,6 +177,33 @@ def department_labels(items: DataFrame, *, order: str) -> DataFrame:
 # --- S1, S2 as a batch reader: one task a theme, pages in order within it -------------------------
 
 
+def fetch_pages(get: Getter, theme: str) -> tuple[list[tuple[int, int, str]], bool]:
+    """Pages (number, status, body) of one theme in order, and whether they are all the rows announced.
+
+    A refused or broken page ends the theme and is no reason to ask again.
+    """
+    found: list[tuple[int, int, str]] = []
+    totals, rows, page, last = set(), 0, 1, 1
+    while page <= last:
+        status, body = get({"theme": theme, "page": str(page)})
+        found.append((page, status, body))
+        try:
+            said = json.loads(body) if status == 200 else None
+            head = said.get("header") or said.get("head") or {}
+            total, size = int(head.get("TOTAL_COUNT") or 0), int(head.get("PAGE_SIZE") or PAGE_SIZE)
+            last = int(head.get("PAGE_COUNT") or 0) or max(1, -(-total // max(1, size)))
+            items = said.get("body")
+        except (ValueError, AttributeError):
+            return found, True
+        if "TOTAL_COUNT" in head:
+            totals.add(total)
+        if not items:
+            break
+        rows += len(items)
+        page += 1
+    return found, len(totals) < 2 and (not totals or rows in totals)
+
+
 class _Theme(InputPartition):
     def __init__(self, theme: str) -> None:
         self.theme = theme
@@ -134,14 +211,17 @@ class _Theme(InputPartition):
 
 class PagedThemes(DataSource):
     """``format("paged_themes")``: option ``themes`` (comma list) and ``folder`` of ``<theme>-<page>.json`` files,
-    or a subclass whose ``getter`` fetches pages.  Gives ``theme, page_no, http_status, body``."""
+    or a subclass whose ``getter`` fetches pages.  Gives ``theme, attempt, page_no, http_status, body``.
+
+    A theme whose pages don't add up to the announced rows, or whose pages disagree on them, is fetched once more (I6);
+    only its last attempt is given."""
 
     @classmethod
     def name(cls) -> str:
         return "paged_themes"
 
     def schema(self) -> str:
-        return "theme string, page_no int, http_status int, body string"
+        return "theme string, attempt int, page_no int, http_status int, body string"
 
     def getter(self) -> Getter:
         folder = self.options["folder"]
@@ -163,21 +243,10 @@ class PagedThemes(DataSource):
                 return [_Theme(t) for t in source.options.get("themes", "").split(",") if t]
 
             def read(self, partition: _Theme) -> Iterator[tuple]:
-                page, pages = 1, 1
-                while page <= pages:
-                    status, body = get({"theme": partition.theme, "page": str(page)})
-                    yield partition.theme, page, status, body
-                    if status != 200:
-                        return
-                    try:
-                        said = json.loads(body)
-                        head = said.get("header") or said.get("head") or {}
-                        total, size = int(head.get("TOTAL_COUNT", 0)), int(head.get("PAGE_SIZE", PAGE_SIZE))
-                        pages = int(head.get("PAGE_COUNT", 0)) or max(1, -(-total // max(1, size)))
-                        if not said.get("body"):
-                            return
-                    except (ValueError, AttributeError):
+                for attempt in (1, 2):
+                    pages, complete = fetch_pages(get, partition.theme)
+                    if complete or attempt == 2:
+                        yield from ((partition.theme, attempt, *page) for page in pages)
                         return
-                    page += 1
 
         return Reader()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,28 +20,57 @@ def read_boundaries(spark: SparkSession, path: str, *, name: str = "name") -> Da
     return raw.select(F.element_at("f.properties", name).alias("region"), F.posexplode(polygons).alias("part", "rings"))
 
 
+def _text_of(spark: SparkSession, path: str) -> str | None:
+    """A small file's text from any storage Spark reaches; None if there is none."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(made):
+        return None
+    stream = system.open(made)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def shard_name(number: int) -> str:
+    """``rows-000.ndjson``, ``rows-001.ndjson``, ..."""
+    return f"rows-{number:03d}.ndjson"
+
+
 def read_ndjson_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
-    """Rows of ``meta.json`` and ``rows-*.ndjson`` by the header's column names, values as JSON text.
+    """Rows of ``meta.json`` and ``rows-*.ndjson`` by the header's column names.
 
-    None where there is no header file.  Blank lines are skipped, null stays null.
+    None where there is no header file.  Blank lines are skipped and null stays null.  Values are variants, which keep
+    numbers, truth values and texts apart; ``as_text`` gives them as text.
     """
-    meta = Path(folder) / "meta.json"
-    if not meta.exists():
+    meta = _text_of(spark, f"{folder}/meta.json")
+    if meta is None:
         return None
-    columns = json.loads(meta.read_text(encoding="utf-8"))["columns"]
+    columns = json.loads(meta)["columns"]
     lines = spark.read.text(f"{folder}/rows-*.ndjson").where(F.trim("value") != "")
-    values = F.from_json("value", "array<string>")
-    return lines.select(values.alias("v")).select(*[F.get("v", i).alias(c) for i, c in enumerate(columns)])
+    values = F.from_json("value", "array<variant>")
+    null = lambda v: F.when(~F.is_variant_null(v), v)
+    return lines.select(values.alias("v")).select(*[null(F.get("v", i)).alias(c) for i, c in enumerate(columns)])
+
+
+def as_text(rows: DataFrame) -> DataFrame:
+    """Variant columns as text, others as they are."""
+    return rows.select(*[F.col(c).cast("string").alias(c) if kind == "variant" else F.col(c) for c, kind in rows.dtypes])
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document a file; an absent path or a broken document gives no rows."""
+    """One JSON document a file with its ``file`` and ``broken``; an absent path gives no rows.
+
+    A broken document keeps its row, all values null and ``broken`` true, so that it can be counted.
+    """
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+        read = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     except Exception as error:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{schema}, file string, broken boolean")
+    return read.withColumns({"file": F.col("_metadata.file_path"), "broken": F.col("_corrupt").isNotNull()}).drop("_corrupt")
 
 
 def write_shards(rows: DataFrame, path: str, *, rows_per_shard: int = ROWS_PER_SHARD) -> None:

@@ -1,14 +1,16 @@
 """Rules, diffs, history, sources and the stream on small inputs."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from strataquay.operators.diffs import field_changes, finding_changes, hashed_rows, key_changes, snapshot_hashes
+from strataquay.operators.diffs import field_changes, finding_changes, hashed_rows, key_changes, snapshot_hashes, stored_hashes
 from strataquay.plans import catalogue
 from strataquay.plans import rules as R
 from strataquay.plans.facts import SNAPSHOT_ROLES, build_facts, row_keys
+from strataquay.plans.history import with_departments
 from strataquay.plans.published import RunStore, of_runs
 from strataquay.plans.rule_queries import FIELDS, SCOPE
 from strataquay.sources import pages as P
@@ -175,10 +177,65 @@ def test_retries_and_reader(spark, tmp_path):
         (tmp_path / f"t-{number}.json").write_text(body)
     spark.dataSource.register(P.PagedThemes)
     read = spark.read.format("paged_themes").option("folder", str(tmp_path)).option("themes", "t,absent").option("wait", "0").load()
-    assert sorted((r.theme, r.page_no, r.http_status) for r in read.collect()) == [("absent", 1, 404), ("t", 1, 200), ("t", 2, 200)]
+    assert sorted((r.theme, r.attempt, r.page_no, r.http_status) for r in read.collect()) == [("absent", 1, 1, 404), ("t", 1, 1, 200), ("t", 1, 2, 200)]
+    (tmp_path / "t-2.json").write_text(page(3, 0))
+    assert {(r.attempt, r.page_no) for r in read.collect() if r.theme == "t"} == {(2, 1), (2, 2)}  # incomplete: asked once more
     assert P.query_text({"a": "x y", "b": "가&"}) == "a=x%20y&b=%EA%B0%80%26"
 
 
+def test_theme_and_department_lists():
+    pages = {("1", "1"): page(3, 2, PAGE_COUNT=2), ("1", "2"): page(3, 1, PAGE_COUNT=2), ("2", "1"): page(None, 0), ("4", "1"): json.dumps({"head": {}, "body": [{"i": 9}]})}
+    asked = []
+
+    def get(params):
+        asked.append((params["type"], params["page"]))
+        return 200, pages[asked[-1]]
+
+    assert [e["i"] for e in P.fetch_theme_list(get, types=("1", "2", "4"), page_size=2)] == [0, 1, 0, 9] and asked == list(pages)
+    for answer in ((503, ""), (200, "{}"), (200, "[]"), (400, json.dumps({"header": {"resultMsg": "no key"}}))):
+        with pytest.raises(RuntimeError) as problem:
+            P.fetch_theme_list(lambda params: answer, types=("1",))  # noqa: B023
+        assert "size" not in str(problem.value)
+    key = "0123456789abcdef" * 2
+    posted = []
+    got = P.fetch_departments(lambda path: f"var k = '{key}';", lambda path, form: posted.append((path, form)) or '{"body": [{"a": 1}]}', script="s", form="f")
+    assert got == [{"a": 1}] and posted == [("f", {"key": key})]
+    for script, body in (("none", '{"body": []}'), (f'"{key}"', "<html>"), (f'"{key}"', '{"body": 1}'), (f'"{key}"', "[]")):
+        with pytest.raises(RuntimeError):
+            P.fetch_departments(lambda path: script, lambda path, form: body, script="s", form="f")  # noqa: B023
+
+
+def test_departments_of_the_catalogue(spark):
+    catalogue_of = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "cot_theme_id string, department string")
+    fresh = spark.createDataFrame([("a", "new"), ("b", None)], "cot_theme_id string, department string")
+    show = lambda f: sorted(tuple(r) for r in f.collect())
+    assert show(with_departments(catalogue_of, fresh, catalogue_of)) == [("a", "new", False), ("b", "unknown", False), ("c", "unknown", False)]
+    assert show(with_departments(catalogue_of, None, catalogue_of)) == [("a", "x", True), ("b", "y", True), ("c", "unknown", False)]
+
+
+def test_two_column_sets_are_united(spark):
+    """A column that one state lacks is null there and shows as a change."""
+    before = spark.createDataFrame([("g", "r0", "1", "v", "old")], "g string, run string, key string, a string, gone string")
+    after = spark.createDataFrame([("g", "r1", "1", "v", "new")], "g string, run string, key string, a string, came string")
+    keyed = before.unionByName(after, allowMissingColumns=True)
+    pairs = spark.createDataFrame([("g", "r0", "r1")], "g string, prev_run string, run string")
+    columns = ["a", "gone", "came"]
+    changes = key_changes(hashed_rows(keyed, keep=["g", "run", "key"], columns=columns), pairs, group="g", load="run", key="key")
+    assert sorted((r.column, r.before, r.after) for r in field_changes(keyed, changes, group="g", load="run", key="key", columns=columns).collect()) == [("came", None, "new"), ("gone", "old", None)]
+
+
+def test_stored_hash(spark):
+    rows = [("s", "b", "x", 2), ("s", "a", None, 1), ("s", "a", 'q"/가', 3), ("t", None, "z", None), (None, "k", "", 0)]
+    frame = spark.createDataFrame(rows, "run string, id string, t string, n bigint")
+    want = {}
+    for scope in ("s", "t", None):
+        lines = sorted(((r[1] or ""), json.dumps([r[1], r[3], r[2]], ensure_ascii=False, separators=(",", ":"))) for r in rows if r[0] == scope)
+        text = '{"columns":["id","n","t"],"rows":[' + ",".join(line for _, line in lines) + "]}"
+        want[scope] = (len(lines), hashlib.sha256(text.encode()).hexdigest())
+    got = lambda f: {r.run: (r.rows, r.stored_hash) for r in stored_hashes(f, scope=["run"], columns=["t", "id", "n"], id_column="id").collect()}
+    assert got(frame) == got(frame.orderBy(F.desc("t")).repartition(3)) == want and got(frame.limit(0)) == {}
+
+
 def test_catalogue_helpers(spark):
     listed = spark.createDataFrame([(1, "a", " A ", "1", "4"), (2, "a", "later", "1", "4"), (3, "", "x", "1", "4"), (4, "b", "B", "0", "4")], "n int, THM_THEME_ID string, THM_THEME_NAME string, THM_THEME_STAT string, THM_THEME_TYPE string")
     assert [tuple(r) for r in P.public_themes(listed, order="n").collect()] == [("a", "A", "4")]
@@ -195,7 +252,13 @@ def test_store(spark, tmp_path):
     snap.mkdir()
     (snap / "meta.json").write_text('{"columns": ["a", "b"]}')
     (snap / "rows-000.ndjson").write_text('["x", null]\n\n["y", 2]\n')
-    assert sorted(tuple(r) for r in store.read_ndjson_snapshot(spark, str(snap)).collect()) == [("x", None), ("y", "2")]
+    read = store.read_ndjson_snapshot(spark, str(snap))
+    assert sorted(tuple(r) for r in store.as_text(read).collect()) == [("x", None), ("y", "2")]
+    assert {r.k for r in read.where("b is not null").select(F.schema_of_variant("b").alias("k")).collect()} == {"BIGINT"} and store.shard_name(7) == "rows-007.ndjson"
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "good.json").write_text('{"a": 3}')
+    (tmp_path / "docs" / "bad.json").write_text('{"a": ')
+    assert sorted(((r.a, r.broken) for r in store.read_documents(spark, f"{tmp_path}/docs", "a int").collect()), key=str) == [(3, False), (None, True)]
     assert store.read_ndjson_snapshot(spark, f"{tmp_path}/none") is None
     assert store.read_documents(spark, f"{tmp_path}/none", "a int").count() == 0
     (tmp_path / "b.json").write_text(json.dumps({"features": [{"properties": {"name": "p"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}},
@@ -222,4 +285,4 @@ def test_stream_of_runs(spark, tmp_path):
 def test_queries_have_sql():
     queries, sql = catalogue.queries(), catalogue.oracle_sql()
     assert sql.keys() <= queries.keys()
-    assert queries.keys() - sql.keys() == {"p2_profile", "rule_catalogue"}
+    assert queries.keys() == sql.keys()

@@ -3,10 +3,11 @@
 import random
 from bisect import bisect_right
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataquay.operators.profile import ProfiledColumn, profile_loads, quantiles
+from strataquay.operators.profile import ProfiledColumn, _slice_curves, profile_loads, quantiles
 
 SCHEMA = "g string, run string, t string, x double, _number double, column_name string"
 
@@ -54,10 +55,27 @@ def test_against_brute_force(spark, seed):
     for row in quantiles(got.values, {"q": 0.5}).collect():
         have = sorted((key(v) for v in cells[(row["column_name"], row["_group"], row["_load"])] if v is not None))
         want = have[-(-len(have) // 2) - 1]
-        want = ("NaN" if want[0] == 1 else str(want[1])) if isinstance(want, tuple) else want
+        want = ("NaN" if want[0] == 1 else f"{want[1]:.6f}") if isinstance(want, tuple) else want
         assert row["q"] == want
 
 
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_a_slice_streams_in_batches(size):
+    random.seed(3)
+    rows = sorted((random.randrange(4), random.randrange(9), random.choice([0.25, -0.25, 0.5])) for _ in range(200))
+    table = pa.table({"_part": pa.array([5] * 200, pa.int32()), "_pair": [r[0] for r in rows], "_value": [r[1] for r in rows], "_share": [r[2] for r in rows]})
+
+    def curves(batches):
+        found, offset = {}, {}
+        for r in sorted((r for b in _slice_curves(iter(batches)) for r in b.to_pylist()), key=lambda r: r["_part"]):
+            before, (low, high, jump) = offset.get(r["_pair"], 0.0), found.get(r["_pair"], (9.0, -9.0, 0.0))
+            found[r["_pair"]] = min(low, before + r["_low"]), max(high, before + r["_high"]), max(jump, r["_jump"])
+            offset[r["_pair"]] = before + r["_sum"]
+        return found, offset
+
+    assert curves(table.to_batches(max_chunksize=size)) == curves(table.combine_chunks().to_batches()) and curves([])[0] == {}
+
+
 def test_empty_and_unlisted_loads(spark):
     empty = profile(spark, [], [])
     assert empty.loads.count() == 0 and empty.shifts.count() == 0 and quantiles(empty.values, {"q": 0.5}).count() == 0
