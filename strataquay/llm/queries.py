@@ -1,10 +1,13 @@
-"""Queries p4 to p9 with their SQL counterparts."""
+"""Queries p4 to p9 with their SQL counterparts.
+
+Tokenizers can't be said in SQL; p7_check, p8_check and p9_check say what must hold of their results instead.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import content_columns, last_run_rows, table
@@ -115,9 +118,7 @@ def sized_documents(spark: SparkSession, folder: str, path: str = VOCABULARY) ->
     return materialize(documents.select("doc_id", "source", token_count(F.col("text"), path).alias("tokens")))
 
 
-def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text, the container it lies in and that container's fill, for each container size."""
-    sized = sized_documents(spark, folder)
+def _containers(spark: SparkSession, folder: str, sized: DataFrame) -> DataFrame:
     limits = table(spark, folder, "size_limits").where("purpose = 'container'").select("limit_name", "max_tokens").collect()  # a few settings
     packed = None
     for limit in sorted(limits):
@@ -134,6 +135,31 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packed
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text, the container it lies in and that container's fill, for each container size."""
+    return _containers(spark, folder, sized_documents(spark, folder))
+
+
+def p7_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Per container size the texts laid, and what must be none: texts missing or cut wrongly, containers overfull or misstated."""
+    sized = sized_documents(spark, folder)
+    laid = materialize(_containers(spark, folder, sized))
+    limits = table(spark, folder, "size_limits").where("purpose = 'container'").select("limit_name", "max_tokens")
+    by_text = laid.groupBy("limit_name", "doc_id").agg(F.sum("tokens").alias("_sum"), F.count(F.lit(1)).alias("_parts"), F.countDistinct("part").alias("_numbers"))
+    # a few limits times the texts: what each must hold
+    wanted = limits.withColumn("_one", F.lit(1)).join(sized.withColumn("_one", F.lit(1)), "_one").join(by_text, ["limit_name", "doc_id"], "full_outer")
+    parts = F.greatest(F.ceil(F.col("tokens") / F.col("max_tokens")), F.lit(1))
+    texts = wanted.groupBy("limit_name").agg(
+        F.count("_sum").alias("texts"), F.count_if(F.col("_sum").isNull() | F.col("tokens").isNull()).alias("missing"),
+        F.count_if((F.col("_sum") != F.col("tokens")) | (F.col("_parts") != parts) | (F.col("_numbers") != parts)).alias("cut_wrongly"),
+    )
+    filled = laid.groupBy("limit_name", "container").agg(F.sum("tokens").alias("_sum"), F.min("container_tokens").alias("_low"), F.max("container_tokens").alias("_high")).join(limits, "limit_name")
+    containers = filled.groupBy("limit_name").agg(
+        F.count_if(F.col("_sum") > F.col("max_tokens")).alias("overfull"), F.count_if((F.col("_sum") != F.col("_low")) | (F.col("_low") != F.col("_high"))).alias("misstated")
+    )
+    return texts.join(containers, "limit_name")
+
+
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Per container size: texts, containers, the fewest possible, and the share of room used."""
     limits = table(spark, folder, "size_limits").select("limit_name", "max_tokens")
@@ -163,6 +189,25 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).shares
 
 
+def p8_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source what must be none or true: texts used too often, misnumbered or of another source; the share met to two records' size."""
+    mixture = _mixture(spark, folder)
+    drawn = materialize(mixture.drawn.select("id", F.col("source").alias("_source"), "size", "copy"))
+    targets = table(spark, folder, "source_targets").select("source", "target_share", "max_repeats")
+    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source")
+    used = drawn.groupBy("id", "_source").agg(F.count(F.lit(1)).alias("_n"), F.max("copy").alias("_last"), F.countDistinct("copy").alias("_numbers"), F.max("size").alias("_size"))
+    met = used.join(documents, "id", "left").join(targets.select(F.col("source").alias("_source"), "max_repeats"), "_source")
+    found = met.groupBy(F.col("_source").alias("source")).agg(
+        F.count_if(F.col("_n") > F.col("max_repeats")).alias("too_often"), F.count_if((F.col("_last") != F.col("_n")) | (F.col("_numbers") != F.col("_n"))).alias("misnumbered"),
+        F.count_if(~F.col("source").eqNullSafe(F.col("_source"))).alias("of_another"),
+    )
+    whole = drawn.agg(F.sum("size").alias("_total"), F.max("size").alias("_largest"))
+    shares = mixture.shares.join(whole).select(
+        "source", ((F.col("available_size") == 0) | (F.abs(F.col("actual_share") - F.col("target_share")) <= 2 * F.col("_largest") / F.col("_total"))).cast("int").alias("share_met")
+    )
+    return targets.select("source").join(found, "source", "left").na.fill(0).join(shares, "source")
+
+
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every text above a piece limit."""
     return split_texts(
@@ -171,7 +216,27 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_entities, p6_found, p6_buildings, p7_containers, p7_fill, p8_collection, p8_shares, p9_pieces)}
+def p9_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Per piece limit what must be none: pieces too large or not the text between their offsets, gaps, open ends, long texts left whole."""
+    limits = table(spark, folder, "size_limits").where("purpose = 'piece'").select("limit_name", "max_tokens")
+    pieces = materialize(p9_pieces(spark, folder))
+    documents = table(spark, folder, "documents").select("doc_id", "text", F.char_length("text").alias("_length"))
+    cut = pieces.join(documents, "doc_id").join(limits, "limit_name").select(
+        "limit_name", "doc_id", "start", "end", "_length", (F.col("tokens") > F.col("max_tokens")).alias("_large"),
+        (F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")) != F.col("piece")).alias("_altered"),
+    )
+    before = F.max("end").over(Window.partitionBy("limit_name", "doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    told = cut.withColumn("_gap", F.col("start") > F.coalesce(before, F.lit(0)))
+    by_text = told.groupBy("limit_name", "doc_id").agg(
+        F.count_if("_large").alias("too_large"), F.count_if("_altered").alias("altered"), F.count_if("_gap").alias("gaps"), (F.max("end") != F.max("_length")).cast("int").alias("open_ends")
+    )
+    long = sized_documents(spark, folder).withColumn("_one", F.lit(1)).join(limits.withColumn("_one", F.lit(1)), "_one").where("tokens > max_tokens")  # a few limits
+    whole = long.join(pieces.select("limit_name", "doc_id").distinct(), ["limit_name", "doc_id"], "left_anti").groupBy("limit_name").agg(F.count(F.lit(1)).alias("left_whole"))
+    sums = by_text.groupBy("limit_name").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("too_large", "altered", "gaps", "open_ends")])
+    return limits.select("limit_name").join(sums, "limit_name", "left").join(whole, "limit_name", "left").na.fill(0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_records, p5_found, p5_entities, p6_found, p6_buildings, p7_containers, p7_fill, p7_check, p8_collection, p8_shares, p8_check, p9_pieces, p9_check)}
 
 _FOLD = r"regexp_replace(lower(coalesce({c}, '')), '[\s\x1c-\x1f\x{{85}}\pZ\pP\pS]+', '', 'g')"
 _TEXTS = [
@@ -193,4 +258,9 @@ grouped AS (
 ORACLE: dict[str, str] = {
     "p4_found": f"{_P4} SELECT low AS row_id_a, row_id AS row_id_b FROM grouped WHERE row_id <> low",
     "p4_records": f"{_P4} SELECT row_id, copies FROM grouped WHERE row_id = low",
+    "p7_check": """SELECT limit_name, (SELECT count(*) FROM documents) AS texts, 0::BIGINT AS missing, 0::BIGINT AS cut_wrongly, 0::BIGINT AS overfull, 0::BIGINT AS misstated
+      FROM size_limits WHERE purpose = 'container'""",
+    "p8_check": "SELECT source, 0::BIGINT AS too_often, 0::BIGINT AS misnumbered, 0::BIGINT AS of_another, 1::INTEGER AS share_met FROM source_targets",
+    "p9_check": """SELECT limit_name, 0::BIGINT AS too_large, 0::BIGINT AS altered, 0::BIGINT AS gaps, 0::BIGINT AS open_ends, 0::BIGINT AS left_whole
+      FROM size_limits WHERE purpose = 'piece'""",
 }
