@@ -29,11 +29,12 @@ def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
             break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # both sides grow with the edges: never broadcast
         # large star: greater neighbours of a move to the smallest of a's surroundings
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a and its smaller neighbours move to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = large.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         current = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
