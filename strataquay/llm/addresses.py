@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import composed_hangul
@@ -157,26 +157,26 @@ def parse_addresses(rows: DataFrame, columns: AddressFields, *, city: str, distr
     )
 
 
-def _one_apart(names: DataFrame, left: str, right: str) -> DataFrame:
-    """Pairs of ``names(name, places, weight)`` one letter or one swap of neighbours apart, rare name first.
+def _one_apart(names: DataFrame) -> DataFrame:
+    """``kind, name, right_name``: rare names of ``names(kind, name, places, weight)`` one letter or one swap of neighbours from a known one.
 
     A rare name has at most a third of the known one's places, or of its weight, and beyond three
     (chance) at most a 32nd: wrong spellings are a small share of a name at every size, and other names are not.
     """
     cuts = F.expr("transform(sequence(1, length(name)), i -> concat(substring(name, 1, i - 1), substring(name, i + 1)))")
     variants = names.select("*", F.explode(F.array_distinct(F.array_append(cuts, F.col("name")))).alias("_cut"))
-    rare = variants.select(F.col("name").alias(left), F.col("places").alias("_few"), F.col("weight").alias("_light"), "_cut")
-    known = variants.select(F.col("name").alias(right), F.col("places").alias("_many"), F.col("weight").alias("_heavy"), "_cut")
+    rare = variants.select("kind", "name", F.col("places").alias("_few"), F.col("weight").alias("_light"), "_cut")
+    known = variants.select("kind", F.col("name").alias("right_name"), F.col("places").alias("_many"), F.col("weight").alias("_heavy"), "_cut")
     far_less = lambda few, many: F.col(many) >= F.greatest(F.lit(3), 3 * F.col(few), 32 * (F.col(few) - 3))
-    swapped = (F.length(left) == F.length(right)) & (F.levenshtein(F.col(left), F.col(right)) == 2) & (
-        F.array_sort(F.split(left, "")) == F.array_sort(F.split(right, ""))
+    swapped = (F.length("name") == F.length("right_name")) & (F.levenshtein("name", "right_name") == 2) & (
+        F.array_sort(F.split("name", "")) == F.array_sort(F.split("right_name", ""))
     )
     return (
-        rare.join(known, "_cut")
-        .where((F.col(left) != F.col(right)) & (far_less("_few", "_many") | (far_less("_light", "_heavy") & (F.col("_few") > 3))))
-        .select(left, right)
+        rare.join(known.hint("merge"), ["kind", "_cut"])
+        .where((F.col("name") != F.col("right_name")) & (far_less("_few", "_many") | (far_less("_light", "_heavy") & (F.col("_few") > 3))))
+        .where((F.levenshtein("name", "right_name") <= 1) | swapped)
+        .select("kind", "name", "right_name")
         .distinct()
-        .where((F.levenshtein(F.col(left), F.col(right)) <= 1) | swapped)
     )
 
 
@@ -195,58 +195,47 @@ def buildings(parsed: DataFrame, *, containment: float = 0.8) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.mode("hint", deterministic=True).alias("hint"))
         .withColumn("form", F.xxhash64(*[F.coalesce(c, F.lit("\x01")) for c in _COMPONENTS]))
     )
-    # --- mend rare spellings of road and neighbourhood names -------------------------------
-    def mended(kind: str, number: str) -> DataFrame:
-        # places saturate where the same numbers come again and again, rows lean to one crowded number: the weight does neither
-        numbers = forms.where(F.col(number).isNotNull()).groupBy(F.col(kind).alias("name"), number).agg(F.sum("n").alias("_n"))
-        names = materialize(
-            numbers.groupBy("name").agg(F.count(F.lit(1)).alias("places"), (F.count(F.lit(1)) * F.median("_n")).alias("weight"))
-        )
-        return materialize(_one_apart(names, kind, "right_name").select(kind, F.col("right_name")))
-
-    roads, dongs = mended("road", "rno"), mended("dong", "lot")
-    known_road = forms.where("road is not null").groupBy("road", "rno").agg(
-        F.collect_set("gu").alias("_road_gus"), F.sum("n").alias("_road_n"), F.collect_set("lot").alias("_road_lots")
+    # tables that grow with the addresses are joined by merging (hinted), never broadcast through the driver
+    # --- mend rare spellings of road and neighbourhood names, both in one pass --------------
+    def part(kind: str, number: str, other: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("name"), F.col(number).alias("number"), F.col(other).alias("other"))
+
+    lone = F.coalesce(F.col("road") == F.col("dong"), F.lit(False))
+    parts = forms.select(
+        "form", "gu", "n", lone.alias("_lone"), F.explode(F.array(part("road", "rno", "lot"), part("dong", "lot", "rno"))).alias("_p")
+    ).select("form", "gu", "n", "_lone", "_p.*").where("name is not null and number is not null")
+    # places saturate where the same numbers come again and again, rows lean to one crowded number: the weight does neither
+    known = materialize(
+        parts.groupBy("kind", "name", "number").agg(F.sum("n").alias("_n"), F.collect_set("gu").alias("_gus"), F.collect_set("other").alias("_others"))
     )
-    known_lot = forms.where("lot is not null").groupBy("dong", "lot").agg(F.collect_set("gu").alias("_lot_gus"), F.sum("n").alias("_lot_n"), F.collect_set("rno").alias("_lot_rnos"))
-    agrees = lambda gus: F.col("gu").isNull() | (F.size(gus) == 0) | F.array_contains(gus, F.col("gu"))
-
-    def best_of(options: DataFrame, column: str) -> DataFrame:
-        """The one spelling left, preferring those whose other number fits; none if they tie."""
-        top = options.groupBy("form").agg(F.max("_fit").alias("_top"))
-        return (
-            options.join(top, "form").where("_fit = _top").groupBy("form")
-            .agg(F.min("right_name").alias(column), F.countDistinct("right_name").alias("_k")).where("_k = 1").drop("_k")
-        )
-
+    names = materialize(known.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("places"), (F.count(F.lit(1)) * F.median("_n")).alias("weight")))
+    mended = materialize(_one_apart(names))
+    agrees = F.col("gu").isNull() | (F.size("_gus") == 0) | F.array_contains("_gus", F.col("gu"))
     # an address with both numbers isn't mended to a name whose own other numbers differ, but for a lone word, which is only one of both
-    fits = lambda others, own: F.coalesce(F.array_contains(others, F.col(own)), F.lit(False)).cast("int")
-    speaks_for = lambda others, own: F.col("_lone") | F.col(own).isNull() | (F.size(others) == 0) | F.array_contains(others, F.col(own))
-    marked = forms.withColumn("_lone", F.coalesce(F.col("road") == F.col("dong"), F.lit(False)))
-    road_options = (
-        marked.where("rno is not null").join(roads, "road").drop("road")
-        .join(known_road.withColumnRenamed("road", "right_name"), ["right_name", "rno"])
-        .where(agrees("_road_gus") & speaks_for("_road_lots", "lot"))
-        .select("form", "right_name", fits("_road_lots", "lot").alias("_fit"))
+    speaks = F.col("_lone") | F.col("other").isNull() | (F.size("_others") == 0) | F.array_contains("_others", F.col("other"))
+    options = (
+        parts.join(mended, ["kind", "name"])
+        .join(known.select("kind", F.col("name").alias("right_name"), "number", "_gus", "_others").hint("merge"), ["kind", "right_name", "number"])
+        .where(agrees & speaks)
+        .select("form", "kind", "right_name", F.coalesce(F.array_contains("_others", F.col("other")), F.lit(False)).cast("int").alias("_fit"))
     )
-    dong_options = (
-        marked.where("lot is not null").join(dongs, "dong").drop("dong")
-        .join(known_lot.withColumnRenamed("dong", "right_name"), ["right_name", "lot"])
-        .where(agrees("_lot_gus") & speaks_for("_lot_rnos", "rno"))
-        .select("form", "right_name", fits("_lot_rnos", "rno").alias("_fit"))
-    )
-    forms = (
-        forms.join(best_of(road_options, "_road"), "form", "left").join(best_of(dong_options, "_dong"), "form", "left")
-        .withColumns({"road": F.coalesce("_road", "road"), "dong": F.coalesce("_dong", "dong")}).drop("_road", "_dong")
+    # the one spelling left, preferring those whose other number fits; none if they tie
+    best = options.groupBy("form", "kind").agg(F.max("_fit").alias("_top"), F.collect_set(F.struct("_fit", "right_name")).alias("_all")).withColumn(
+        "_all", F.filter("_all", lambda o: o["_fit"] == F.col("_top"))
+    ).where(F.size("_all") == 1)
+    chosen = best.groupBy("form").agg(*[F.max(F.when(F.col("kind") == k, F.col("_all")[0]["right_name"])).alias(f"_{k}") for k in ("road", "dong")])
+    forms = materialize(
+        forms.join(chosen.hint("merge"), "form", "left").withColumns({"road": F.coalesce("_road", "road"), "dong": F.coalesce("_dong", "dong")}).drop("_road", "_dong")
     )
     # --- a road or neighbourhood that lies in one district names it ------------------------
-    def home(kind: str, out: str) -> DataFrame:
-        by_gu = forms.where(F.col(kind).isNotNull() & F.col("gu").isNotNull()).groupBy(kind, "gu").agg(F.sum("n").alias("_n"))
-        share = by_gu.withColumn("_all", F.sum("_n").over(Window.partitionBy(kind)))
-        return share.where(F.col("_n") >= 0.9 * F.col("_all")).select(kind, F.col("gu").alias(out))
-
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in ("road", "dong")])
+    by_gu = forms.where("gu is not null").select("gu", "n", F.explode(kinds).alias("_p")).select("gu", "n", "_p.*").where("name is not null").groupBy("kind", "name", "gu").agg(F.sum("n").alias("_n"))
+    # a name's districts are a short list
+    whole = by_gu.groupBy("kind", "name").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "gu")).alias("_most"))
+    home = materialize(whole.where(F.col("_most._n") >= 0.9 * F.col("_all")).select("kind", "name", F.col("_most.gu").alias("_gu")))
+    of = lambda kind: home.where(F.col("kind") == kind).select(F.col("name").alias(kind), F.col("_gu").alias(f"_{kind}_gu"))
     forms = materialize(
-        forms.join(home("road", "_road_gu"), "road", "left").join(home("dong", "_dong_gu"), "dong", "left")
+        forms.join(of("road"), "road", "left").join(of("dong"), "dong", "left")
         .withColumn("gu", F.coalesce("gu", F.when(F.col("rno").isNotNull(), F.col("_road_gu")), "_dong_gu"))
         .drop("_road_gu", "_dong_gu")
     )
@@ -261,10 +250,10 @@ def buildings(parsed: DataFrame, *, containment: float = 0.8) -> DataFrame:
     listed = spelled.select("form", F.explode("tokens").alias("token"))
     common = listed.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     weighed = materialize(
-        listed.join(common, "token")
+        listed.join(common.hint("merge"), "token")
         .groupBy("form")
         .agg(F.array_sort(F.collect_list(F.struct("_df", "token"))).alias("_ranked"))
-        .join(spelled.drop("tokens"), "form")
+        .join(spelled.drop("tokens").hint("merge"), "form")
         .withColumn("tokens", F.transform("_ranked", lambda t: t["token"]))
         .withColumn("rarest", F.get(F.filter("tokens", lambda t: F.rlike(t, F.lit("^[rl]"))), 0))
         .withColumn("weights", F.transform("_ranked", lambda t: 1.0 / F.log2(1.0 + t["_df"])))
@@ -284,14 +273,14 @@ def buildings(parsed: DataFrame, *, containment: float = 0.8) -> DataFrame:
     against = [F.col(c).isNotNull() & F.col(f"f_{c}").isNotNull() & (F.col(c) != F.col(f"f_{c}")) for c in ("gu", "lot", "rno")]
     contradicts = against[0] | against[1] | against[2]
     met = (
-        partial.join(full, "rarest")
+        partial.join(full.hint("merge"), "rarest")
         .where((F.col("f_form") != F.col("form")) & (F.col("f_size") > F.size("tokens")) & ~contradicts)
         .where(shared >= containment * total)
         .select("form", "gu", "hint", "f_form", "f_gu", "rarest")
     )
     # without a district of its own an address may fit buildings in several: its record's hint decides, or nothing
     choices = met.groupBy("form").agg((F.min("f_gu").eqNullSafe(F.max("f_gu"))).alias("_single"))
-    links = met.join(choices, "form").where(F.col("gu").isNotNull() | F.col("_single") | (F.col("hint") == F.col("f_gu"))).select("form", "f_form")
+    links = met.join(choices.hint("merge"), "form").where(F.col("gu").isNotNull() | F.col("_single") | (F.col("hint") == F.col("f_gu"))).select("form", "f_form")
 
     # --- buildings: addresses tied by a shared road number, lot number or containment -------
     key = lambda *parts: F.xxhash64(*[F.coalesce(p if isinstance(p, Column) else F.col(p), F.lit("\x01")) for p in parts])
@@ -302,12 +291,12 @@ def buildings(parsed: DataFrame, *, containment: float = 0.8) -> DataFrame:
     # only keys that several addresses share tie anything: each of these to the smallest of them
     shared_keys = keyed.groupBy("_key").agg(F.min("form").alias("_low"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     edges = (
-        keyed.join(shared_keys, "_key").where("form <> _low").select(F.col("form").alias("a"), F.col("_low").alias("b"))
+        keyed.join(shared_keys.hint("merge"), "_key").where("form <> _low").select(F.col("form").alias("a"), F.col("_low").alias("b"))
         .unionByName(links.select(F.col("form").alias("a"), F.col("f_form").alias("b")))
     )
     labels = connected_components(edges)
     original = with_number.withColumn("form", F.xxhash64(*[F.coalesce(c, F.lit("\x01")) for c in _COMPONENTS])).select("id", "form")
-    return original.join(labels, original.form == labels.node, "left").select("id", F.coalesce("component", "form").alias("building"))
+    return original.join(labels.hint("merge"), original.form == labels.node, "left").select("id", F.coalesce("component", "form").alias("building"))
 
 
 def building_pairs(members: DataFrame, *, id_column: str, group: str, text: Column, rows_per_salt: int = 1000) -> DataFrame:
@@ -316,7 +305,7 @@ def building_pairs(members: DataFrame, *, id_column: str, group: str, text: Colu
     sizes = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(
         "_g", F.ceil(F.col("_n") / F.lit(rows_per_salt)).cast("int").alias("_salts")
     )
-    sized = materialize(rows.join(sizes, "_g"))
+    sized = materialize(rows.join(sizes.hint("merge"), "_g"))
     left = sized.select("_g", F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int").alias("_salt"), F.col("_id").alias("a"), F.col("_t").alias("_ta"))
     right = sized.select("_g", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.col("_id").alias("b"), F.col("_t").alias("_tb"))
-    return left.join(right, ["_g", "_salt"]).where("a < b and _ta <> _tb").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    return left.join(right.hint("merge"), ["_g", "_salt"]).where("a < b and _ta <> _tb").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))

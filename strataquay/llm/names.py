@@ -395,11 +395,11 @@ def link_names(
     placed = flagged.select("id", "name", F.explode(spots).alias("_s")).select("id", "name", "_s.*")
     # equal names of one spot first become one: copies never reach a trie
     merged = materialize(placed.groupBy("_spot", "_edits", "name").agg(F.min("id").alias("_low")))
-    readings = merged.join(spelled, "name")
+    readings = merged.join(spelled.hint("merge"), "name")
     reading_key = ["_spot", "_edits", "stem", "kind", "rest", "branch", "roman"]
     distinct = materialize(readings.groupBy(*reading_key).agg(F.min("_low").alias("_rep")))
     sizes = distinct.groupBy("_spot").agg(F.count(F.lit(1)).alias("_names")).where("_names > 1")
-    sized = distinct.join(sizes, "_spot")
+    sized = distinct.join(sizes.hint("merge"), "_spot")
     # Two stems that match share two of their first six letters: two edits leave two of the
     # first four, moved by two places at most.  Romanised ones share three letters at an end.
     syllables = F.array_sort(F.split(F.substring("stem", 1, 6), ""))
@@ -434,8 +434,8 @@ def link_names(
         lambda frames: _link_shards(frames, kind_table), _SHARD_SCHEMA
     )
     # --- rows of equal names and equal readings to their representative --------------------
-    same_name = placed.join(merged, ["_spot", "_edits", "name"]).where("id <> _low").select(F.col("id").alias("a"), F.col("_low").alias("b"))
-    same_reading = readings.join(distinct, reading_key).where("_low <> _rep").select(F.col("_low").alias("a"), F.col("_rep").alias("b"))
+    same_name = placed.join(merged.hint("merge"), ["_spot", "_edits", "name"]).where("id <> _low").select(F.col("id").alias("a"), F.col("_low").alias("b"))
+    same_reading = readings.join(distinct.hint("merge"), reading_key).where("_low <> _rep").select(F.col("_low").alias("a"), F.col("_rep").alias("b"))
     edges = matched.unionByName(same_name).unionByName(same_reading)
     labels = connected_components(edges)
     return labels.select(F.col("node").alias("id"), F.col("component").alias("entity"))

@@ -79,11 +79,11 @@ def name_entities(spark: SparkSession, folder: str) -> DataFrame:
     housed = row_buildings(spark, folder, rows)
     x, y = mended_position(F.col("cot_coord_x"), F.col("cot_coord_y"))
     named = rows.select("row_id", "cot_conts_name", x.alias("x"), y.alias("y")).join(
-        housed.select(F.col("id").alias("row_id"), "building"), "row_id", "left"
+        housed.select(F.col("id").alias("row_id"), "building").hint("merge"), "row_id", "left"
     )
     brands = [d.removesuffix("구") for d in _district_names(spark, folder)]
     entities = link_names(named, id_column="row_id", name="cot_conts_name", x="x", y="y", building="building", brands=brands)
-    return entities.join(rows.select(F.col("row_id").alias("id"), F.col("cot_conts_name").alias("name")), "id")
+    return entities.join(rows.select(F.col("row_id").alias("id"), F.col("cot_conts_name").alias("name")).hint("merge"), "id")
 
 
 def mended_position(x: Column, y: Column) -> tuple[Column, Column]:
