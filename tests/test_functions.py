@@ -33,6 +33,18 @@ def test_unusable_phone_column(spark):
     assert got == []
 
 
+def test_long_phone_values_are_judged_like_short_ones(spark, monkeypatch):
+    from strataquay.functions import phone
+
+    rows = [(t,) for t in [*GOOD, *BAD, " ", "02-2345-6789, 02-2345-6780 (안내)", "02-2345-6789, 2345"]]
+    frame = spark.createDataFrame(rows, "t string")
+    answers = []
+    for long in (1000, 0):
+        monkeypatch.setattr(phone, "_LONG", long)
+        answers.append({r.t: r.v for r in frame.select("t", phone.unusable_phone(F.col("t")).alias("v")).collect()})
+    assert {t: v for t, v in answers[0].items() if answers[1][t] != v} == {}
+
+
 def test_phone_issue_grades(spark):
     cases = [
         ("", None, None), ("02-2245-8202", None, None), ("02-2258-4300,4100", None, None), ("02-2627-2503~4", None, None), ("120", None, None), ("02%29364-4686", "error", "02)364-4686"),
