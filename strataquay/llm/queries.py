@@ -118,6 +118,13 @@ def sized_documents(spark: SparkSession, folder: str, path: str = VOCABULARY) ->
     return materialize(documents.select("doc_id", "source", token_count(F.col("text"), path).alias("tokens")))
 
 
+def _for_each_limit(frame: DataFrame, limits: DataFrame) -> DataFrame:
+    """Every row once for each of a few settings, with ``limit_name, max_tokens``."""
+    some = [F.struct(F.lit(r["limit_name"]).alias("limit_name"), F.lit(r["max_tokens"]).alias("max_tokens")) for r in sorted(limits.collect())]
+    none = F.array().cast("array<struct<limit_name:string,max_tokens:int>>")
+    return frame.withColumn("_limit", F.explode(F.array(*some) if some else none)).select(*frame.columns, "_limit.*")
+
+
 def _containers(spark: SparkSession, folder: str, sized: DataFrame) -> DataFrame:
     limits = table(spark, folder, "size_limits").where("purpose = 'container'").select("limit_name", "max_tokens").collect()  # a few settings
     packed = None
@@ -146,8 +153,7 @@ def p7_check(spark: SparkSession, folder: str) -> DataFrame:
     laid = materialize(_containers(spark, folder, sized))
     limits = table(spark, folder, "size_limits").where("purpose = 'container'").select("limit_name", "max_tokens")
     by_text = laid.groupBy("limit_name", "doc_id").agg(F.sum("tokens").alias("_sum"), F.count(F.lit(1)).alias("_parts"), F.countDistinct("part").alias("_numbers"))
-    # a few limits times the texts: what each must hold
-    wanted = limits.withColumn("_one", F.lit(1)).join(sized.withColumn("_one", F.lit(1)), "_one").join(by_text, ["limit_name", "doc_id"], "full_outer")
+    wanted = _for_each_limit(sized, limits).join(by_text, ["limit_name", "doc_id"], "full_outer")
     parts = F.greatest(F.ceil(F.col("tokens") / F.col("max_tokens")), F.lit(1))
     texts = wanted.groupBy("limit_name").agg(
         F.count("_sum").alias("texts"), F.count_if(F.col("_sum").isNull() | F.col("tokens").isNull()).alias("missing"),
@@ -201,10 +207,9 @@ def p8_check(spark: SparkSession, folder: str) -> DataFrame:
         F.count_if(F.col("_n") > F.col("max_repeats")).alias("too_often"), F.count_if((F.col("_last") != F.col("_n")) | (F.col("_numbers") != F.col("_n"))).alias("misnumbered"),
         F.count_if(~F.col("source").eqNullSafe(F.col("_source"))).alias("of_another"),
     )
-    whole = drawn.agg(F.sum("size").alias("_total"), F.max("size").alias("_largest"))
-    shares = mixture.shares.join(whole).select(
-        "source", ((F.col("available_size") == 0) | (F.abs(F.col("actual_share") - F.col("target_share")) <= 2 * F.col("_largest") / F.col("_total"))).cast("int").alias("share_met")
-    )
+    total, largest = drawn.agg(F.sum("size"), F.max("size")).first()
+    miss = F.abs(F.col("actual_share") - F.col("target_share"))
+    shares = mixture.shares.select("source", ((F.col("available_size") == 0) | (miss <= 2 * (largest or 0) / (total or 1))).cast("int").alias("share_met"))
     return targets.select("source").join(found, "source", "left").na.fill(0).join(shares, "source")
 
 
@@ -230,7 +235,7 @@ def p9_check(spark: SparkSession, folder: str) -> DataFrame:
     by_text = told.groupBy("limit_name", "doc_id").agg(
         F.count_if("_large").alias("too_large"), F.count_if("_altered").alias("altered"), F.count_if("_gap").alias("gaps"), (F.max("end") != F.max("_length")).cast("int").alias("open_ends")
     )
-    long = sized_documents(spark, folder).withColumn("_one", F.lit(1)).join(limits.withColumn("_one", F.lit(1)), "_one").where("tokens > max_tokens")  # a few limits
+    long = _for_each_limit(sized_documents(spark, folder), limits).where("tokens > max_tokens")
     whole = long.join(pieces.select("limit_name", "doc_id").distinct(), ["limit_name", "doc_id"], "left_anti").groupBy("limit_name").agg(F.count(F.lit(1)).alias("left_whole"))
     sums = by_text.groupBy("limit_name").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("too_large", "altered", "gaps", "open_ends")])
     return limits.select("limit_name").join(sums, "limit_name", "left").join(whole, "limit_name", "left").na.fill(0)
